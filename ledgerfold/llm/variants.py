@@ -22,7 +22,7 @@ from ledgerfold.llm.clusters import average_linkage
 from ledgerfold.llm.names import GIVEN, canonical, edits, letters, parse
 from ledgerfold.session import materialize
 
-THRESHOLD, CUT, GRAM, ACRONYM_WEIGHT = 0.3, 0.2, 3, 0.6
+THRESHOLD, CUT, GRAM = 0.35, 0.2, 3
 _FORM = "form string, kind string, root string, line string, middle string, initial string, acronym string"
 
 
@@ -56,26 +56,27 @@ def _grams(f: pd.DataFrame) -> list[list[tuple[str, float]]]:
     for kind, root, line, acronym in zip(f["kind"], f["root"], f["line"], f["acronym"]):
         padded = f"^{root}$"
         grams: dict[str, float] = {}
-        if acronym:
-            grams[f"A{acronym}"] = ACRONYM_WEIGHT
-        else:
+        if not acronym:
             for i in range(max(1, len(padded) - GRAM + 1)):
                 g = f"{kind[0]}{padded[i : i + GRAM]}"
                 grams[g] = grams.get(g, 0.0) + 1.0
-            if kind == "org" and line:
-                grams.update({f"A{a}": ACRONYM_WEIGHT for a in letters(root, line)})
             if line:
                 grams[f"L{line}"] = 1.0
         out.append(list(grams.items()))
     return out
 
 
-def vectors(forms: DataFrame) -> DataFrame:
-    """(form, gram, w) with unit tf-idf vectors over all forms, and rank: 0 for the rarest gram of the form."""
+def _letters(f: pd.DataFrame) -> list[list[tuple[str, float]]]:
+    """The letters an organisation may be called by, as a vector of its own."""
+    return [[(a, 1.0)] if a else [(x, 1.0) for x in letters(root, line)] if kind == "org" and line else [] for kind, root, line, a in zip(f["kind"], f["root"], f["line"], f["acronym"])]
+
+
+def vectors(forms: DataFrame, features=_grams) -> DataFrame:
+    """(form, gram, df, w): unit tf-idf vectors over all forms."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            lists = _grams(f)
+            lists = features(f)
             yield pd.DataFrame([(form, g, c) for form, gs in zip(f["form"], lists) for g, c in gs], columns=["form", "gram", "c"])
 
     grams = materialize(forms.select("form", "kind", "root", "line", "acronym").mapInPandas(run, "form string, gram string, c double"), "variant-grams")
@@ -162,7 +163,10 @@ def drop_ambiguous_initials(pairs: DataFrame) -> DataFrame:
 
 def link_forms(parts: DataFrame, threshold: float = THRESHOLD, cut: float = CUT) -> DataFrame:
     """(node, cluster) of the forms in parts(form, kind, root, line, middle, initial, acronym, firm, weight)."""
-    pairs = confirm(cosine_pairs(vectors(parts), threshold), parts)
+    by_letters = vectors(parts, _letters)
+    called = by_letters.join(parts.where("acronym <> ''").select(F.col("acronym").alias("gram")).distinct(), "gram", "left_semi").select("form", "gram", "df", "w")
+    pairs = cosine_pairs(vectors(parts), threshold).unionByName(cosine_pairs(called, 0.4)).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    pairs = confirm(pairs, parts)
     edges = drop_ambiguous_initials(pairs).select("a", "b", F.lit(1.0).alias("sim"), F.col("a_weight").alias("wa"), F.col("b_weight").alias("wb"))
     return average_linkage(edges, cut)
 
