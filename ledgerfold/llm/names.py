@@ -113,7 +113,8 @@ def _fold(root: str) -> str:
 
 
 @lru_cache(maxsize=200_000)
-def parse(raw: str | None) -> Name:
+def parse(raw: str | None, persons: bool = True) -> Name:
+    """The parts of one name; without *persons* every name is taken for an organisation's."""
     none = Name("none", "", "", "", "", "")
     if raw is None:
         return none
@@ -155,7 +156,7 @@ def parse(raw: str | None) -> Name:
     rest = [t for t in rest if t not in LEGAL and t not in _TITLES]
     if not rest:
         return none
-    if not line and not legal_seen and len(rest) >= 2:
+    if persons and not line and not legal_seen and len(rest) >= 2:
         return _person(rest, comma is not None)
     if not line and len(rest) == 1 and legal_seen and 3 <= len(rest[0]) <= 5 and not re.search(r"[aeiou]{1}", rest[0][1:-1]):
         return Name("org", rest[0], "", "", "", rest[0])

@@ -26,7 +26,7 @@ THRESHOLD, CUT, GRAM = 0.35, 0.2, 3
 _FORM = "form string, kind string, root string, line string, middle string, initial string, acronym string"
 
 
-def with_parts(names: DataFrame, name: str, other: str | None = None) -> DataFrame:
+def with_parts(names: DataFrame, name: str, other: str | None = None, persons: bool = True) -> DataFrame:
     """The rows with the parts of their name; *other* (a second, tidied spelling) may tell a given name."""
     keep = names.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names.schema) + ", " + _FORM
@@ -35,7 +35,7 @@ def with_parts(names: DataFrame, name: str, other: str | None = None) -> DataFra
         for f in frames:
             rows = []
             for i, raw in enumerate(f[name]):
-                n = parse(raw)
+                n = parse(raw, persons)
                 if other and n.kind == "person" and not n.line and f[other].iloc[i]:
                     told = parse(f[other].iloc[i])
                     if told.kind == "person" and told.line and edits(told.root, n.root, 2) <= 2 and initial_fits(n.initial, told.line):
@@ -113,7 +113,7 @@ def same_name(a, b) -> bool:
             if full.acronym:
                 return short.acronym == full.acronym and bool(short.firm) and short.firm == full.firm
             return short.acronym in letters(full.root, full.line) and bool(short.firm) and short.firm == full.firm
-        return a.line == b.line and edits(a.root, b.root, 2) <= (2 if min(len(a.root), len(b.root)) >= 7 else 1)
+        return (a.line == b.line or not a.line or not b.line) and edits(a.root, b.root, 2) <= (2 if min(len(a.root), len(b.root)) >= 7 else 1)
     if a.middle and b.middle and a.middle != b.middle:
         return False
     if edits(a.root, b.root, 2) > (2 if min(len(a.root), len(b.root)) >= 7 else 1):
@@ -127,7 +127,7 @@ def same_name(a, b) -> bool:
 
 
 def confirm(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b, cosine) whose parts mean the same name, with what told them apart from persons' initials."""
+    """Candidate pairs (a, b, cosine) whose parts mean the same name, with what tells short names apart."""
     cols = ["kind", "root", "line", "middle", "initial", "acronym", "firm", "weight"]
     j = pairs
     for side in "ab":
@@ -151,10 +151,10 @@ def confirm(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return materialize(kept, "variant-confirmed")
 
 
-def drop_ambiguous_initials(pairs: DataFrame) -> DataFrame:
-    """Without the pairs that tie a name with a mere initial to persons of several given names."""
-    one = pairs.where("a_kind = 'person' AND a_line = '' AND b_line <> ''").select(F.col("a").alias("short"), F.col("b_line").alias("given"))
-    two = pairs.where("a_kind = 'person' AND b_line = '' AND a_line <> ''").select(F.col("b").alias("short"), F.col("a_line").alias("given"))
+def drop_ambiguous(pairs: DataFrame) -> DataFrame:
+    """Without the pairs that tie a short name (a mere initial, a mere root) to persons of several given names or firms of several lines."""
+    one = pairs.where("a_line = '' AND b_line <> ''").select(F.col("a").alias("short"), F.col("b_line").alias("given"))
+    two = pairs.where("b_line = '' AND a_line <> ''").select(F.col("b").alias("short"), F.col("a_line").alias("given"))
     vague = one.unionByName(two).groupBy("short").agg(F.count_distinct("given").alias("n")).where("n > 1").select("short")
     tied: Column = F.col("a_line") != F.col("b_line")
     clear = pairs.where(tied).join(vague, F.when(F.col("a_line") == "", F.col("a")).otherwise(F.col("b")) == F.col("short"), "left_anti")
@@ -167,7 +167,7 @@ def link_forms(parts: DataFrame, threshold: float = THRESHOLD, cut: float = CUT)
     called = by_letters.join(parts.where("acronym <> ''").select(F.col("acronym").alias("gram")).distinct(), "gram", "left_semi").select("form", "gram", "df", "w")
     pairs = cosine_pairs(vectors(parts), threshold).unionByName(cosine_pairs(called, 0.4)).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     pairs = confirm(pairs, parts)
-    edges = drop_ambiguous_initials(pairs).select("a", "b", F.lit(1.0).alias("sim"), F.col("a_weight").alias("wa"), F.col("b_weight").alias("wb"))
+    edges = drop_ambiguous(pairs).select("a", "b", F.lit(1.0).alias("sim"), F.col("a_weight").alias("wa"), F.col("b_weight").alias("wb"))
     return average_linkage(edges, cut)
 
 
