@@ -206,17 +206,22 @@ class _Index:
 
 
 class _Best:
-    """The k best neighbours of n queries, ranked in double precision, ties by key."""
+    """The k best neighbours of n queries, ranked in double precision, ties by key. Hits are gathered and cut now and then."""
+
+    GATHER = 400_000
 
     def __init__(self, x: np.ndarray, keys: np.ndarray, groups: np.ndarray, k: int, floor: float) -> None:
         self.x, self.x32, self.keys, self.groups, self.k, self.floor = x, x.astype(np.float32), keys, groups, k, floor
         self.worst = np.full(len(x), floor - 1e-5, np.float32)
-        self.held = pd.DataFrame({"q": np.empty(0, np.int64), "c": np.empty(0), "key": np.empty(0, object), "leaf": np.empty(0, np.int64)})
+        self.hits: list[tuple] = []
+        self.n_hits = 0
 
     def offer(self, ask: np.ndarray, keys: np.ndarray, groups: np.ndarray, b: np.ndarray, b32: np.ndarray, leaves: np.ndarray) -> None:
         for r in range(0, len(b), 8192):
             for s in range(0, len(ask), 512):
                 self._block(ask[s : s + 512], keys[r : r + 8192], groups[r : r + 8192], b[r : r + 8192], b32[r : r + 8192], leaves[r : r + 8192])
+        if self.n_hits > self.GATHER:
+            self.cut()
 
     def _block(self, ask, keys, groups, b, b32, leaves) -> None:
         sims = self.x32[ask] @ b32.T
@@ -226,53 +231,65 @@ class _Best:
             if sims.shape[1] > self.k:
                 limit = np.maximum(limit, np.partition(sims, -self.k, axis=1)[:, -self.k])
         qi, bi = np.nonzero(sims >= limit[:, None] - np.float32(4e-6))
+        if not len(qi):
+            return
         q = ask[qi]
         other = self.groups[q] != groups[bi]
         q, bi = q[other], bi[other]
-        if not len(q):
-            return
         cosine = np.round(np.einsum("ij,ij->i", self.x[q], b[bi]), 9)
         close = cosine >= self.floor
-        new = pd.DataFrame({"q": q[close], "c": cosine[close], "key": keys[bi[close]], "leaf": leaves[bi[close]]})
-        every = pd.concat([self.held, new], ignore_index=True).sort_values(["q", "c", "key"], ascending=[True, False, True], kind="stable")
-        every = every.drop_duplicates(["q", "key"])
+        self.hits.append((q[close], cosine[close], keys[bi[close]], leaves[bi[close]]))
+        self.n_hits += int(close.sum())
+
+    def cut(self) -> pd.DataFrame:
+        if not self.hits:
+            return pd.DataFrame({"q": np.empty(0, np.int64), "c": np.empty(0), "key": np.empty(0, object), "leaf": np.empty(0, np.int64)})
+        q, c, key, leaf = (np.concatenate(a) for a in zip(*self.hits))
+        every = pd.DataFrame({"q": q, "c": c, "key": key, "leaf": leaf}).sort_values(["q", "c", "key"], ascending=[True, False, True], kind="stable").drop_duplicates(["q", "key"])
         rank = every.groupby("q").cumcount()
-        self.held = every[rank < self.k]
-        full = every[rank == self.k - 1]
+        full, every = every[rank == self.k - 1], every[rank < self.k]
         self.worst[full["q"].to_numpy()] = np.maximum(self.worst[full["q"].to_numpy()], full["c"].to_numpy(np.float32))
+        self.hits, self.n_hits = [tuple(every[n].to_numpy() for n in ("q", "c", "key", "leaf"))], 0
+        return every
 
     def result(self) -> pd.DataFrame:
-        h = self.held
+        h = self.cut()
         q = h["q"].to_numpy()
-        return pd.DataFrame({"key": self.keys[q], "grp": self.groups[q], "neighbour": h["key"].to_numpy(), "cosine": h["c"].to_numpy(), "leaf": h["leaf"].to_numpy()})
+        return pd.DataFrame({"key": self.keys[q], "grp": self.groups[q], "neighbour": h["key"].to_numpy(), "cosine": h["c"].to_numpy(), "leaf": h["leaf"].to_numpy().astype(np.int64)})
 
 
 _FOUND = "key string, grp string, neighbour string, cosine double, leaf bigint"
 
 
 def _search(tree: Tree, groups: list, dim: int, k: int, visits: int, floor: float, every: int):
-    """The neighbours of the rows of a row group, found by the tree; of rows whose key hashes to 0 modulo *every*."""
+    """The neighbours of the rows of some row groups, found by the tree; of keys that hash to 0 modulo *every*.
+
+    A unit is a file's row groups: its queries lie in neighbouring leaves, and every row group they need is read once.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = _Index(groups, dim)
         for f in frames:
-            for unit in f["unit"]:
-                _, keys, grps, x, _ = index.read(int(unit))
-                if every > 1:
-                    mine = pd.util.hash_array(keys.astype(object)) % np.uint64(every) == 0 if len(keys) else np.zeros(0, bool)
+            for first, last in zip(f["first"], f["last"]):
+                keys, grps, x = (np.concatenate(a) for a in zip(*(index.read(i)[1:4] for i in range(int(first), int(last)))))
+                if every > 1 and len(keys):
+                    mine = pd.util.hash_array(keys) % np.uint64(every) == 0
                     keys, grps, x = keys[mine], grps[mine], x[mine]
                 if not len(keys):
                     continue
                 best, probes = _Best(x, keys, grps, k, floor), tree.visits(x, visits)
-                for turn in range(probes.shape[1]):  # nearest leaves of all queries first: later ones meet closer bounds
-                    for leaf in np.unique(probes[:, turn]):
-                        if leaf < 0:
-                            continue
-                        ask = np.flatnonzero(probes[:, turn] == leaf)
-                        for g in index.of_leaf(int(leaf)):
-                            leaves, k2, g2, b, b32 = index.read(int(g))
-                            at = slice(*np.searchsorted(leaves, [leaf, leaf + 1]))
+                for turns in (slice(0, 1), slice(1, None)):  # the nearest leaves first: the others meet closer bounds
+                    leaf = probes[:, turns].ravel()
+                    asks = np.repeat(np.arange(len(x)), probes[:, turns].shape[1])[np.argsort(leaf, kind="stable")]
+                    leaf = np.sort(leaf, kind="stable")
+                    wanted = np.unique(leaf[leaf >= 0])
+                    for g in np.flatnonzero(np.searchsorted(wanted, index.low) < np.searchsorted(wanted, index.high, side="right")):
+                        leaves, k2, g2, b, b32 = index.read(int(g))
+                        for at_leaf in wanted[np.searchsorted(wanted, index.low[g]) : np.searchsorted(wanted, index.high[g], side="right")]:
+                            ask = asks[slice(*np.searchsorted(leaf, [at_leaf, at_leaf + 1]))]
+                            at = slice(*np.searchsorted(leaves, [at_leaf, at_leaf + 1]))
                             best.offer(ask, k2[at], g2[at], b[at], b32[at], leaves[at])
+                    best.cut()
                 yield best.result()
 
     return run
@@ -284,9 +301,10 @@ def _scan(groups: list, dim: int, k: int, floor: float, x: np.ndarray, keys: np.
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, best = _Index(groups, dim, 1), _Best(x, keys, grps, k, floor)
         for f in frames:
-            for unit in f["unit"]:
-                leaves, k2, g2, b, b32 = index.read(int(unit))
-                best.offer(np.arange(len(x)), k2, g2, b, b32, leaves)
+            for first, last in zip(f["first"], f["last"]):
+                for i in range(int(first), int(last)):
+                    leaves, k2, g2, b, b32 = index.read(i)
+                    best.offer(np.arange(len(x)), k2, g2, b, b32, leaves)
         yield best.result()
 
     return run
@@ -305,10 +323,14 @@ def nearest(rows: DataFrame, key: str, group: str, vector: str, k: int, min_cosi
     """
     spark = rows.sparkSession
     valid = valid_vectors(rows, key, group, vector, dim)
-    fit = valid.withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(sample).toPandas()
+    n = rows.count()
+    share = min(1.0, 2.0 * sample / max(1, n))  # so many rows at most come to the driver, however many there are
+    drawn = valid.withColumn("h", F.xxhash64("key")).where(F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    fit = drawn.orderBy("h", "key").limit(sample).toPandas()
     if not len(fit):
-        return spark.createDataFrame([], "key string, neighbour string, cosine double, rank int")
-    n = valid.select("key").count() if len(fit) == sample else len(fit)
+        if share == 1.0:
+            return spark.createDataFrame([], "key string, neighbour string, cosine double, rank int")
+        fit = valid.limit(sample).toPandas()
     x = _unit(np.stack(fit["vec"].map(np.asarray).to_list()))
     distinct = x[np.unique(_direction(x), return_index=True)[1]]
     tree = Tree(distinct, max(1, min(n // leaf, len(distinct) // 8)))
@@ -318,7 +340,7 @@ def nearest(rows: DataFrame, key: str, group: str, vector: str, k: int, min_cosi
     placed = valid.mapInArrow(_assign(tree, parts.astype(np.int64), dim, k), _PLACED)
     spread = F.when(F.col("light"), F.pmod(F.xxhash64("key"), F.lit(files)).cast("int")).otherwise(F.col("part"))
     placed.repartitionById(files, spread).sortWithinPartitions("leaf", "key").write.option("parquet.block.size", str(ROW_GROUP)).option("compression", "zstd").parquet(path)
-    groups, light = [], False
+    groups, ends, light = [], [0], False
     for name in list_files(spark, path):
         meta = open_file(name).metadata
         at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
@@ -326,7 +348,11 @@ def nearest(rows: DataFrame, key: str, group: str, vector: str, k: int, min_cosi
             stats = {c: meta.row_group(i).column(at[c]).statistics for c in ("leaf", "light")}
             groups.append((name, i, stats["leaf"].min, stats["leaf"].max))
             light |= bool(stats["light"].max)
-    units = spark.createDataFrame([(i,) for i in range(len(groups))], "unit int").repartition(min(len(groups), max(files, spark.sparkContext.defaultParallelism * 4)))
+        ends.append(len(groups))
+    spans = [(a, b) for a, b in zip(ends, ends[1:]) if b > a]
+    if not spans:
+        return spark.createDataFrame([], "key string, neighbour string, cosine double, rank int")
+    units = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(spans)], "i int, first int, last int").repartitionById(len(spans), "i")
 
     ask = fit.head(calibration)
     truth = _top(units.mapInPandas(_scan(groups, dim, k, min_cosine, x[: len(ask)], ask["key"].to_numpy(object), ask["grp"].to_numpy(object)), _FOUND), k).toPandas()
