@@ -1,8 +1,8 @@
 """Variant spellings of names typed by people.
 
 Method: every distinct name is parsed to a form; forms are weighted character n-gram vectors (tf-idf over all forms); a
-distributed sparse join finds all pairs of forms of at least *threshold* cosine (all partners; prefix filtering on the
-rarest n-grams keeps the join from frequent ones without losing a pair); an exact check of the parts (edit distance of the
+distributed sparse join finds all pairs of forms of at least *threshold* cosine (all partners, not only the top n; forms
+meet on pairs of n-grams, under a bound that loses none); an exact check of the parts (edit distance of the
 root, line of business, given name and initials, letters of an acronym with the firm most of its rows bear) confirms
 pairs; average-linkage clustering, weighted by rows, groups the forms, and with them the spellings.
 
@@ -87,20 +87,35 @@ def vectors(forms: DataFrame, features=_grams) -> DataFrame:
     return weighted.join(norm, "form").select("form", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def cosine_pairs(vec: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, cosine) of all pairs of forms a < b with cosine >= threshold."""
-    # grams from the rarest on; those whose tail is shorter than the threshold can't make a pair alone
+def cosine_pairs(vec: DataFrame, threshold: float, long: int = 64) -> DataFrame:
+    """(a, b, cosine) of all pairs of forms a < b with cosine >= threshold; no pair is lost.
+
+    Forms meet on pairs of grams: with x and y the weights, the sum over shared pairs of grams of x_g x_h y_g y_h is S, and
+    the cosine is at most (m + sqrt(m * m + 8 S)) / 2, m being the greatest product of a shared gram. So below m = t / 2 a
+    pair needs S >= t * t / 4; a product of t / 2 or more needs a weight of at least sqrt(t / 2) on one side and t / 2 on the
+    other, and those few grams are joined singly. Forms of more than *long* grams are joined on single grams, all but the
+    frequent ones whose common length is below the threshold.
+    """
+    t = threshold
     ordered = vec.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "w"))).alias("v"))
-    prefix = F.expr(f"""aggregate(reverse(v), struct(0.0D AS tail, array() AS p),
-        (s, x) -> struct(s.tail + x.w * x.w AS tail, IF(s.tail + x.w * x.w >= {threshold * threshold}D, array_append(s.p, x.gram), s.p) AS p)).p""".replace("array() AS p", "cast(array() as array<string>) AS p"))
-    ordered = materialize(ordered.withColumn("p", prefix), "variant-vectors")
-    short = ordered.select("form", F.explode("p").alias("gram"))
-    left, right = short.withColumnRenamed("form", "a"), short.withColumnRenamed("form", "b")
-    candidates = left.join(right, "gram").where("a < b").select("a", "b").distinct()
-    m = ordered.select("form", F.map_from_entries(F.transform("v", lambda x: F.struct(x["gram"], x["w"]))).alias("m"))
-    both = candidates.join(m.withColumnRenamed("form", "a").withColumnRenamed("m", "ma"), "a").join(m.withColumnRenamed("form", "b").withColumnRenamed("m", "mb"), "b")
+    ordered = materialize(ordered.withColumn("id", F.xxhash64("form")), "variant-vectors")
+    short = ordered.where(F.size("v") <= long)
+    combos = "flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(xxhash64(x.gram, y.gram) AS key, x.w * y.w AS pw))))"
+    pairs = short.select("id", F.explode(F.expr(combos)).alias("k")).select("id", "k.key", "k.pw")
+    meet = pairs.select(F.col("id").alias("x"), "key", F.col("pw").alias("px")).join(pairs.select(F.col("id").alias("y"), "key", F.col("pw").alias("py")), "key").where("x < y")
+    close = meet.groupBy("x", "y").agg(F.sum(F.col("px") * F.col("py")).alias("s")).where(F.col("s") >= t * t / 4 - 1e-9).select("x", "y")
+    single = ordered.select("id", F.explode("v").alias("k")).select("id", "k.gram", "k.w").where(F.col("w") >= t / 2)
+    strong = single.where(F.col("w") >= (t / 2) ** 0.5 - 1e-9).select(F.col("id").alias("p"), "gram").join(single.select(F.col("id").alias("q"), "gram"), "gram")
+    prefix = F.expr(f"""aggregate(reverse(v), struct(0.0D AS tail, cast(array() AS array<string>) AS p),
+        (s, x) -> struct(s.tail + x.w * x.w AS tail, IF(s.tail + x.w * x.w >= {t * t}D, array_append(s.p, x.gram), s.p) AS p)).p""")
+    first = ordered.select("id", F.explode(prefix).alias("gram"))
+    wide = first.join(ordered.where(F.size("v") > long).select("id"), "id", "left_semi").select(F.col("id").alias("p"), "gram").join(first.select(F.col("id").alias("q"), "gram"), "gram")
+    more = strong.unionByName(wide).where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+    candidates = close.unionByName(more).distinct()
+    m = ordered.select("id", "form", F.map_from_entries(F.transform("v", lambda e: F.struct(e["gram"], e["w"]))).alias("m"))
+    both = candidates.join(m.select(F.col("id").alias("x"), F.col("form").alias("a"), F.col("m").alias("ma")), "x").join(m.select(F.col("id").alias("y"), F.col("form").alias("b"), F.col("m").alias("mb")), "y")
     dot = F.expr("aggregate(map_keys(ma), 0.0D, (s, g) -> s + ma[g] * coalesce(mb[g], 0.0D))")
-    return both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dot.alias("cosine")).where(F.col("cosine") >= t)
 
 
 def same_name(a, b) -> bool:
