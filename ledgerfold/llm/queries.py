@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_tables", "q_vectors", "q_names"]
+MODULES = ["q_tables", "q_vectors", "q_names", "q_texts"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
