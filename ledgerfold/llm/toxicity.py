@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,14 @@ from ledgerfold.llm.leakage import plain
 TOXIC_DOCS, CLEAN_DOCS, OTHER_DOCS, FEATURES = 3_000, 3_000, 5_000, 1 << 17
 COMMON, LIFT = 20, 4.0  # a feature is used if so many sample documents have it, or if it is so much more frequent in toxic ones
 _LEET = str.maketrans("013457$@!", "oieasttai")  # 5 stands for s, so $ is the other of the two it may mean
-_DIGIT_LETTER = re.compile(r"[a-z][013457$@]|[013457$@][a-z]")
+_DIGIT_LETTER = re.compile(r"[a-z][013457$@]+[a-z]|[013457$@][013457$@][a-z]\$")
+_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
 _MIXED = re.compile(r"[\w$@']*[013457$@][\w$@']*")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
-_LETTERS = re.compile(r"(?:^|[^\w])[^\W\d_]['’]? [^\W\d_] ['’]?[^\W\d_](?:$|[^\w])")
+_LETTERS = re.compile(r" [^\W\d_] ?['’]? [^\W\d_] ")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ?['’]? ){2,}[^\W\d_](?![^\W_])")
-_WORD = re.compile(r"[^\W_぀-ヿ㐀-鿿]+(?:'[a-z]+)?|[぀-ヿ㐀-鿿]+")
+_ZERO = repeat(0.0)
+_WORD = re.compile(r"(?!\d+(?:\W|$))[^\W_぀-ヿ㐀-鿿]+(?:'[a-z]+)?|[぀-ヿ㐀-鿿]+")  # figures alone aren't words
 _SENTENCE = re.compile(r"[^.!?。！？\n\r\x85]*\w[^.!?。！？\n\r\x85]*")
 
 
@@ -51,7 +54,8 @@ def tidy(text: str) -> str:
     t = plain(text)
     if _DIGIT_LETTER.search(t):
         t = _MIXED.sub(_letters, t)
-    t = _STRETCH.sub(r"\1", t)
+    if any(x in t for x in _TRIPLES):
+        t = _STRETCH.sub(r"\1", t)
     if _LETTERS.search(t):
         t = _SPACED.sub(_unspace, t)
     return t
@@ -66,7 +70,7 @@ def features(sentence: str) -> list[str]:
     for w in _WORD.findall(sentence):
         if "぀" <= w[0] <= "鿿":
             out += [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
-        elif not w.isdigit():
+        else:
             out.append(w)
             out.append(f"{before} {w}")
             before = w
@@ -158,44 +162,34 @@ def fit(toxic: list[list[list[str]]], clean: list[list[list[str]]], other: list[
 
 
 class Scorer:
-    """Scores texts with fitted weights: words and pairs in tables, so no feature string is built that has no weight."""
+    """Scores texts with fitted weights, kept in tables by word, by pair of words and by run of characters."""
 
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.bias, self.single, self.pairs, self.runs = bias, {}, {}, {}
         for f, x in weights.items():
             before, gap, w = f.partition(" ")
             if gap:
-                self.pairs.setdefault(before, {})[w] = x
+                self.pairs[before, w] = x
             elif "぀" <= f[0] <= "鿿":
                 self.runs[f] = x
             else:
                 self.single[f] = x
 
     def sentence(self, text: str) -> float:
-        total, before, seen = self.bias, "^", set()
-        single, pairs, runs = self.single, self.pairs, self.runs
-        for w in _WORD.findall(text):
-            if "぀" <= w[0] <= "鿿":
-                for n in (2, 3):
-                    for i in range(len(w) - n + 1):
-                        f = w[i : i + n]
-                        if f in runs and f not in seen:
-                            seen.add(f)
-                            total += runs[f]
-            elif not w.isdigit():
-                if w in single and w not in seen:
-                    seen.add(w)
-                    total += single[w]
-                after = pairs.get(before)
-                if after is not None and w in after and (before, w) not in seen:
-                    seen.add((before, w))
-                    total += after[w]
-                before = w
-        return total
+        found = _WORD.findall(text)
+        total = self.bias
+        if not text.isascii():
+            cjk = [w for w in found if "぀" <= w[0] <= "鿿"]
+            if cjk:
+                found = [w for w in found if not "぀" <= w[0] <= "鿿"]
+                total += sum(map(self.runs.get, {w[i : i + n] for w in cjk for n in (2, 3) for i in range(len(w) - n + 1)}, _ZERO))
+        return total + sum(map(self.single.get, set(found), _ZERO)) + sum(map(self.pairs.get, set(zip(["^", *found], found)), _ZERO))
 
     def score(self, text: str | None) -> float:
-        worst = max((self.sentence(s) for s in sentences(text)), default=-np.inf) if text else -np.inf
-        return float(_sigmoid(np.float64(worst))) if worst > -np.inf else 0.0
+        if not text:
+            return 0.0
+        worst = max(map(self.sentence, sentences(text)), default=None)
+        return 0.0 if worst is None else float(_sigmoid(np.float64(worst)))
 
 
 def labelled(labels: DataFrame, doc_id: str, toxic: str) -> DataFrame:
