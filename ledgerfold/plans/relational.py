@@ -32,7 +32,7 @@ SELECT o.firm, c.code, count(DISTINCT o.id) AS n FROM owners o JOIN codes c ON o
     "firm_portfolio_detail": """
 SELECT r.id, CAST(r.d AS VARCHAR(10)) AS filed, r.status, round(r.value, 2) AS value FROM records r JOIN owners o ON r.id = o.id WHERE o.firm = 1 ORDER BY r.d DESC, r.id LIMIT 1000""",
     "patent_detail_nested_counts": """
-SELECT r.id, count(DISTINCT c.code) AS n_codes, count(DISTINCT o.firm) AS n_firms FROM records r LEFT JOIN codes c ON r.id = c.id LEFT JOIN owners o ON r.id = o.id WHERE r.id <= 500 GROUP BY r.id""",
+SELECT r.id, count(DISTINCT c.code) AS n_codes, count(DISTINCT o.firm) AS n_firms FROM records r LEFT JOIN codes c ON r.id = c.id LEFT JOIN owners o ON r.id = o.id GROUP BY r.id""",
     "co_applicant_edges": """
 SELECT a.firm AS firm_a, b.firm AS firm_b, count(DISTINCT a.id) AS shared FROM owners a JOIN owners b ON a.id = b.id AND a.firm < b.firm GROUP BY a.firm, b.firm HAVING count(DISTINCT a.id) >= 5""",
     "patent_compare_shared": """
@@ -95,7 +95,7 @@ SELECT CAST(min(age) AS INT) AS half_life FROM cum WHERE share >= 0.5""",
 WITH last_row AS (SELECT code, y, n, lag(n, 5) OVER w AS n5, lag(n, 3) OVER w AS n3, lag(n, 2) OVER w AS n2, row_number() OVER (PARTITION BY code ORDER BY y DESC) AS rn FROM momentum WINDOW w AS (PARTITION BY code ORDER BY y))
 SELECT code, round(CASE WHEN n5 > 0 THEN pow(n / CAST(n5 AS DOUBLE), 1 / 5.0) - 1 WHEN n3 > 0 THEN pow(n / CAST(n3 AS DOUBLE), 1 / 3.0) - 1 WHEN n2 > 0 THEN pow(n / CAST(n2 AS DOUBLE), 0.5) - 1 ELSE 0.0 END, 6) AS cagr FROM last_row WHERE rn = 1""",
     "portfolio_evolution": """
-WITH yearly AS (SELECT o.firm, c.code, r.y, count(*) AS n FROM owners o JOIN records r ON o.id = r.id JOIN codes c ON c.id = r.id WHERE o.firm <= 20 GROUP BY o.firm, c.code, r.y),
+WITH yearly AS (SELECT o.firm, c.code, r.y, count(*) AS n FROM owners o JOIN records r ON o.id = r.id JOIN codes c ON c.id = r.id GROUP BY o.firm, c.code, r.y),
 top AS (SELECT firm, y, code, row_number() OVER (PARTITION BY firm, y ORDER BY n DESC, code) AS rn FROM yearly)
 SELECT firm, y, code, lag(code) OVER (PARTITION BY firm ORDER BY y) AS before FROM top WHERE rn = 1""",
     "tech_trend_hot": """
@@ -214,7 +214,7 @@ SELECT firm_id, raw_name AS usual_name, n FROM (SELECT firm_id, raw_name, n, row
     "news_axes_quarter": """
 SELECT user_id, CAST(year(ts) AS INT) AS y, CAST(quarter(ts) AS INT) AS q, count(*) AS mentions, round(avg(value), 6) AS tone, round(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / (10.0 + sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)), 6) AS investment FROM events GROUP BY 1, 2, 3""",
     "group_hierarchy_counts": "SELECT relationship, count(*) AS n, round(avg(ownership_pct), 4) AS mean_pct FROM corporate_hierarchy GROUP BY relationship",
-    "set_except_codes": "SELECT code FROM codes JOIN owners USING (id) WHERE firm = 1 EXCEPT SELECT code FROM codes JOIN owners USING (id) WHERE firm = 2 AND id < 3000",
+    "set_except_codes": "SELECT code FROM codes JOIN owners USING (id) WHERE firm = 1 EXCEPT SELECT code FROM codes JOIN owners USING (id) WHERE firm = 2 AND section = 'STANDARD'",
 }
 
 QUERIES, SQL = declare(BODIES)
