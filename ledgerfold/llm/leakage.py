@@ -3,7 +3,7 @@
 Method: the test items are a BM25 inverted index with block maxima; impacts are divided by the item's own score, so a score
 is the share of an item that a passage covers. Every document is read whole: the names among the essential terms (without
 which no item can reach the threshold) are looked up in its text by an automaton; an item needs a quarter
-of its names, two at least, or all if it has fewer. Every passage with such a name is a query, answered by block-max WAND, and all items above the threshold are retrieved. A retrieved item is verified by aligning its words
+of its names, two at least, or one if it has fewer than four. Every passage with such a name is a query, answered by block-max WAND, and all items above the threshold are retrieved. A retrieved item is verified by aligning its words
 with the passage in order: at least half of them must be there, and of the names and figures in the part covered most.
 
 The index holds the test items only (a held-out set; its size is checked against `max_items`), and goes to every task.
@@ -105,10 +105,10 @@ class ItemIndex:
             best = self.blocks.setdefault(t, {})
             for item, v in p:
                 best[item // BLOCK] = max(best.get(item // BLOCK, 0.0), v)
-        # names: essential terms that hardly another item has and that aren't figures; of those two must be in the text
+        # names: essential terms that hardly another item has and that aren't figures; of those some must be in the text
         self.names = {t: [i for i, _ in self.postings[t]] for t in essential if df[t] <= 2 and len(t) >= NAME_LENGTH[t > "぀"] and not t.isdigit()}
         count = Counter(i for t in self.names for i in self.names[t])
-        self.least = [min(count[i], max(2, count[i] // 4)) for i in range(n)]
+        self.least = [max(1, count[i] // 4) if count[i] < 4 else max(2, count[i] // 4) for i in range(n)]
         lone = {t for t in essential if not t.isdigit() and any(not count[i] for i, _ in postings[t])}  # items without names: any essential term
         self.names |= {t: [i for i, _ in self.postings[t]] for t in lone}
         self._automaton = None

@@ -1,0 +1,58 @@
+import numpy as np
+
+from ledgerfold.llm.clusters import average_linkage, components
+from ledgerfold.llm.entities import match_records
+from ledgerfold.llm.knn import nearest
+from ledgerfold.llm.names import edits, parse
+from ledgerfold.llm.variants import variant_pairs
+
+
+def test_parse():
+    assert parse("MEVUGENITAK AEROSP. AG") [:3] == parse("Mevu-Genitak Aerospace, Aktiengesellschaft")[:3] == ("org", "mevugenitak", "aerospace")
+    assert parse("HRTH (Hiritahuho Shipbuilding K.K.)")[:3] == parse("ヒリタフホ造船株式会社")[:3] == ("org", "hiritahuho", "shipbuilding")
+    assert parse("Bella K. Pehasegami")[:4] == parse("PEHASEGAMI ISABELLA K.")[:4] == ("person", "pehasegami", "isabella", "k")
+    assert {parse(x).kind for x in (None, "", "????", "(individual)", "n/a")} == {"none"}
+    assert edits("abcd", "abdc") == 1 and edits("abcdef", "abc", 2) == 3
+
+
+def test_variants(spark):
+    rows = [("Mevugenitak Aerospace AG", None, "c1"), ("MEVUGENITAK AEROSP. AG", None, "c1"), ("Mevungenitak Aerospace", None, None), ("MVGA GmbH", None, "c1"), ("Mevugenitak Foods AG", None, "c2"), ("UNKNOWN", None, None), (None, "x", "c1"), ("Isabella Banahogeso", None, None), ("B. Banahogeso", "BANAHOGESO ISABELLA", None), ("x" * 3000 + " Inc.", None, None)] * 2
+    got = {tuple(r) for r in variant_pairs(spark.createDataFrame(rows, "name string, tidied string, firm string"), "name", "tidied", "firm").collect()}
+    one = ["MEVUGENITAK AEROSP. AG", "MVGA GmbH", "Mevugenitak Aerospace AG", "Mevungenitak Aerospace"]
+    assert got == {(a, b) for a in one for b in one if a < b} | {("B. Banahogeso", "Isabella Banahogeso")}
+    assert variant_pairs(spark.createDataFrame([], "name string, tidied string, firm string"), "name", "tidied", "firm").count() == 0
+
+
+def test_clusters(spark):
+    e = spark.createDataFrame([("a", "b", 1.0, 1.0, 1.0), ("b", "c", 1.0, 1.0, 1.0), ("d", "e", 0.9, 5.0, 1.0), ("e", "f", 0.3, 1.0, 9.0)], "a string, b string, sim double, wa double, wb double")
+    assert {r["node"]: r["component"] for r in components(e).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "d"}
+    want = {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
+    for limit in (2000, 1):
+        assert {r["node"]: r["cluster"] for r in average_linkage(e, 0.2, limit).collect()} == want
+
+
+def test_match(spark):
+    sep = spark.createDataFrame([(1, "Mevugenitak Aerospace AG", "US 10,000,001 B1", None, "x"), (2, None, None, None, "x"), (3, "Sidobirogo Group", "US10000002", None, "x")], "declaration_id bigint, declarant string, patent_number string, publication_number string, key string")
+    lit = spark.createDataFrame([("c1", "MEVUGENITAK AEROSP. and Tawuvimogur Foods Inc.", None, "Dolaworilol Glass SA")] * 2 + [("c2", "Sidobirogo Optical AB", None, None), ("c3", "Sidobirogo Foods AB", None, "UNKNOWN")], "case_id string, plaintiff string, patent_number string, defendant string")
+    ptab = spark.createDataFrame([("t1", "Tawuvimogur Fds", None, None), ("t2", "????", None, None)], "trial_number string, petitioner string, patent_number string, publication_number string")
+    owners = spark.createDataFrame([("US-10000002-B1", "Sidobirogo Optical AB", "f1")], "publication_number string, raw_name string, firm_id string")
+    got = {(r["key_a"], r["key_b"]) for r in match_records(sep, lit, ptab, owners).collect()}
+    assert got == {("lit:c1", "sep:1"), ("lit:c1", "ptab:t1"), ("lit:c2", "sep:3")}
+    assert match_records(sep.limit(0), lit.limit(0), ptab.limit(0), owners.limit(0)).count() == 0
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 8))
+    x = np.concatenate([base, base * 3 + 0.05 * rng.normal(size=(60, 8)), np.repeat(base[:1], 40, axis=0) * 2])
+    rows = [(f"k{i:03d}", "g" if i < 2 else f"g{i}", v.tolist(), 1) for i, v in enumerate(x)] + [("bad1", "a", [0.0] * 8, 1), ("bad2", "a", None, 1), ("bad3", "a", [float("nan")] * 8, 1), ("bad4", "a", [1.0], 1), (None, "a", [1.0] * 8, 1)]
+    df = spark.createDataFrame(rows + rows[:20], "k string, g string, v array<double>, leaf int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    want = set()
+    for i in range(len(x)):
+        others = [j for j in range(len(x)) if rows[j][1] != rows[i][1] and s[i, j] >= 0.9]
+        want |= {(rows[i][0], rows[j][0]) for j in sorted(others, key=lambda j: (-s[i, j], rows[j][0]))[:3]}
+    got = {(r["key"], r["neighbour"]) for r in nearest(df, "k", "g", "v", 3, 0.9, dim=8, leaf=20).collect()}
+    assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+    assert nearest(df.limit(0), "k", "g", "v", 3, dim=8).count() == 0
