@@ -46,7 +46,9 @@ def heavy_keys(rows: DataFrame, scope: str, key: str, share: float) -> DataFrame
     The rows are joined with their totals on the scope; the states by key are joined, never the rows, and the totals are
     rolled up from the same states. Scopes are names of tables or the like, so few that their totals can be broadcast.
     """
-    state = rows.groupBy(scope, key).agg(F.count(F.lit(1)).alias("n"))
-    total = state.groupBy(scope).agg(F.sum("n").alias("n_scope"))
+    # whether a key is null is kept as part of the state: a filter on the key itself would go down into one of the two
+    # scans, and the exchange could not be shared
+    state = rows.groupBy(scope, key).agg(F.count(F.lit(1)).alias("n"), F.max(F.col(key).isNotNull()).alias("known"))
+    total = state.groupBy(scope).agg(F.sum("n").alias("n_scope"), F.max("known").alias("any_known"))
     pairs = state.join(F.broadcast(total), scope)
-    return pairs.where(F.col(key).isNotNull() & (F.col("n") >= F.lit(share) * F.col("n_scope"))).select(scope, key, "n", "n_scope")
+    return pairs.where(F.col("known") & F.col("any_known") & (F.col("n") >= F.lit(share) * F.col("n_scope"))).select(scope, key, "n", "n_scope")
