@@ -118,6 +118,58 @@ def cosine_pairs(vec: DataFrame, threshold: float, long: int = 64) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dot.alias("cosine")).where(F.col("cosine") >= t)
 
 
+def _apart(root: str) -> int:
+    return 2 if len(root) >= 7 else 1
+
+
+def meeting_keys(root: str, long: int = 26) -> set[str]:
+    """Strings of which two roots within the edit rule of same_name share at least one.
+
+    An edit (also a swap) is one letter less on either side, so two roots of edit distance 2 share what is left after two
+    deletions each. Roots of nearly *long* letters and more are cut into five pieces: two edits touch four of them at most,
+    so one stands unaltered in the other root, at most two places aside and at the cuts of a length at most two apart.
+    """
+    keys: set[str] = set()
+    if len(root) <= long:
+        level = {root}
+        keys |= level
+        for _ in range(_apart(root)):
+            level = {s[:i] + s[i + 1 :] for s in level for i in range(len(s))}
+            keys |= level
+    if len(root) >= long - 1:
+        for n in range(len(root) - 2, len(root) + 3):
+            for k in range(5):
+                low, high = k * n // 5, (k + 1) * n // 5
+                keys |= {f"{n}.{k}.{root[low + s : high + s]}" for s in range(-2, 3) if 0 <= low + s and high + s <= len(root)}
+    return keys
+
+
+def edit_pairs(parts: DataFrame) -> DataFrame:
+    """(a, b) of all forms a < b called by full names whose roots are within the edit rule, whatever their cosine; no pair is lost."""
+    full = parts.where("acronym = ''")
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for s in range(0, len(f), 500):
+                some = f.iloc[s : s + 500]
+                yield pd.DataFrame([(k, r, m) for k, r in zip(some["kind"], some["root"]) for m in meeting_keys(r)], columns=["kind", "root", "m"])
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ok = [edits(x, y, 2) <= min(_apart(x), _apart(y)) for x, y in zip(f["x"], f["y"])]
+            yield f[ok]
+
+    keys = full.select("kind", "root").distinct().mapInPandas(keyed, "kind string, root string, m string").select("kind", "root", F.xxhash64("kind", "m").alias("m"))
+    keys = materialize(keys, "variant-keys")
+    meet = keys.withColumnRenamed("root", "x").join(keys.withColumnRenamed("root", "y"), ["kind", "m"]).where("x < y").select("kind", "x", "y").distinct()
+    roots = meet.mapInPandas(near, "kind string, x string, y string")
+    same = full.select("kind", F.col("root").alias("x"), F.col("root").alias("y")).distinct()
+    one = full.select("kind", F.col("root").alias("x"), F.col("form").alias("p"), F.col("line").alias("p_line"))
+    two = full.select("kind", F.col("root").alias("y"), F.col("form").alias("q"), F.col("line").alias("q_line"))
+    both = roots.unionByName(same).join(one, ["kind", "x"]).join(two, ["kind", "y"]).where("p <> q AND (kind <> 'org' OR p_line = q_line OR p_line = '' OR q_line = '')")
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def same_name(a, b) -> bool:
     """Exact check of two parsed names (rows with kind, root, line, middle, initial, acronym, firm)."""
     if a.kind != b.kind:

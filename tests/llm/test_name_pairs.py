@@ -1,0 +1,45 @@
+import random
+
+import numpy as np
+
+from ledgerfold.llm.entities import BUCKETS, DIM, _tokenised, candidate_pairs
+from ledgerfold.llm.names import edits
+from ledgerfold.llm.variants import edit_pairs, same_name
+
+PARTS = "form string, kind string, root string, line string, middle string, initial string, acronym string, firm string, weight double"
+
+
+def _forms():
+    """Roots of many lengths, each with copies a few edits away."""
+    rng = random.Random(5)
+    roots = set()
+    for n in [4, 5, 6, 7, 8, 12, 24, 25, 26, 27, 28, 60] * 6:
+        root = "".join(rng.choice("abcdefgh") for _ in range(n))
+        roots.add(root)
+        for _ in range(4):
+            s = list(root)
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(s) - 1)
+                s[i : i + 2] = rng.choice([[s[i + 1], s[i]], [s[i]], [s[i], "x", s[i + 1]], [s[i], "y"]])
+            roots.add("".join(s))
+    return [(f"o|{r}|{x}", "org", r, x, "", "", "", None, 1.0) for r in sorted(roots) for x in rng.sample(["", "glass", "foods"], 2)]
+
+
+def _accepted(df, forms):
+    rows = [r for r in df.createDataFrame(forms, PARTS).collect()]
+    return {(min(a.form, b.form), max(a.form, b.form)) for i, a in enumerate(rows) for b in rows[:i] if abs(len(a.root) - len(b.root)) <= 2 and same_name(a, b)}
+
+
+def test_no_edit_pair_is_lost(spark):
+    forms = _forms()
+    want = _accepted(spark, forms)
+    got = {(r["a"], r["b"]) for r in edit_pairs(spark.createDataFrame(forms, PARTS)).collect()}
+    assert got == want and any(len(a) > 60 and edits(a, b) == 2 for a, b in got)
+
+
+def test_names_that_share_no_bucket_meet(spark):
+    forms = _forms()
+    df = spark.createDataFrame(forms, PARTS)
+    model, idf = np.random.default_rng(1).normal(size=(BUCKETS, DIM)).astype(np.float32), np.ones(BUCKETS)
+    got = {(r["a"], r["b"]) for r in candidate_pairs(_tokenised(df), model, idf, edit_pairs(df), tables=1, size=0.01, least=-1.0).collect()}
+    assert _accepted(spark, forms) <= got
