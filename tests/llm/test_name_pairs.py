@@ -43,3 +43,12 @@ def test_names_that_share_no_bucket_meet(spark):
     model, idf = np.random.default_rng(1).normal(size=(BUCKETS, DIM)).astype(np.float32), np.ones(BUCKETS)
     got = {(r["a"], r["b"]) for r in candidate_pairs(_tokenised(df), model, idf, edit_pairs(df), tables=1, size=0.01, least=-1.0).collect()}
     assert _accepted(spark, forms) <= got
+
+
+def test_no_pair_falls_to_the_cosine(spark):
+    forms = _forms()[:120]
+    df = spark.createDataFrame(forms, PARTS)
+    model, idf = np.random.default_rng(1).normal(size=(BUCKETS, DIM)).astype(np.float32), np.ones(BUCKETS)
+    got = {(r["a"], r["b"]): r["cosine"] for r in candidate_pairs(_tokenised(df), model, idf, edit_pairs(df), tables=1, least=0.9).collect()}
+    want = _accepted(spark, forms)
+    assert want <= got.keys() and min(got[p] for p in want) < 0.9
