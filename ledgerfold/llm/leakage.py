@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text.
 
 Method: the test items are a BM25 inverted index with block maxima; impacts are divided by the item's own score, so a score
-is the share of an item that a passage covers. Every document is read whole: the names among the essential terms (without
-which no item can reach the threshold) are looked up in its text by an automaton; an item needs a quarter
-of its names, two at least, or one if it has fewer than four. Every passage with such a name is a query, answered by block-max WAND, and all items above the threshold are retrieved. A retrieved item is verified by aligning its words
+is the share of an item that a passage covers.
+Every document is read whole: the items that all its terms together cover to the threshold are the only ones that a passage
+can; every passage is a query for them, answered by block-max WAND with the essential terms (without which no item can reach
+the threshold) as pivots, and all items above the threshold are retrieved. A retrieved item is verified by aligning its words
 with the passage in order: at least half of them must be there, and of the names and figures in the part covered most.
 
 The index holds the test items only (a held-out set; its size is checked against `max_items`), and goes to every task.
@@ -22,11 +23,11 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NAME_LENGTH = (5, 3)  # least letters of a name: in scripts with spaces, in others
 THRESHOLD, COVER, NAMES, WINDOW, BLOCK, MAX_ITEMS = 0.35, 0.5, 0.5, 192, 32, 200_000
 _CJK = "぀-ヿ㐀-䶿一-鿿"
 _TOKEN = re.compile(rf"[^\W_{_CJK}]+|[{_CJK}]")
@@ -100,55 +101,41 @@ class ItemIndex:
                     essential.add(t)
                 rest -= v / own
         self.postings = dict(postings)
+        self.lists = {t: (np.array([i for i, _ in p]), np.array([v for _, v in p])) for t, p in postings.items()}
         self.blocks: dict[str, dict[int, float]] = {}
         for t, p in self.postings.items():
             best = self.blocks.setdefault(t, {})
             for item, v in p:
                 best[item // BLOCK] = max(best.get(item // BLOCK, 0.0), v)
-        # names: essential terms that hardly another item has and that aren't figures; of those some must be in the text
-        self.names = {t: [i for i, _ in self.postings[t]] for t in essential if df[t] <= 2 and len(t) >= NAME_LENGTH[t > "぀"] and not t.isdigit()}
-        count = Counter(i for t in self.names for i in self.names[t])
-        self.least = [max(1, count[i] // 4) if count[i] < 4 else max(2, count[i] // 4) for i in range(n)]
-        lone = {t for t in essential if not t.isdigit() and any(not count[i] for i, _ in postings[t])}  # items without names: any essential term
-        self.names |= {t: [i for i, _ in self.postings[t]] for t in lone}
-        self._automaton = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None}
-
-    def hits(self, squeezed: str) -> set[str]:
-        """Names in a text without separators that stand there for an item with as many of them as it needs."""
-        if self._automaton is None:
-            import ahocorasick
-
-            self._automaton = ahocorasick.Automaton()
-            for t in self.names:
-                self._automaton.add_word(t, t)
-            self._automaton.make_automaton()
-        if not len(self._automaton):
-            return set()
-        seen = {t for _, t in self._automaton.iter(squeezed)}
-        if not seen:
-            return seen
-        of = Counter(i for t in seen for i in self.names[t])
-        return {t for t in seen if any(of[i] >= self.least[i] for i in self.names[t])}
-
-    def retrieve(self, query: set[str], hit: set[str]) -> list[int]:
-        """The items whose share covered by the query is at least the threshold: block-max WAND.
-
-        Only items on the lists of the names met can be pivots (the other lists alone prove nothing); a block of items is
-        left out where the sum of the block maxima of all terms of the query stays below the threshold.
+        #: Items by essential term; an item that reaches the threshold holds one of its own at least.
+        self.essential = {t: [i for i, _ in self.postings[t]] for t in essential}
+
+    def candidates(self, query: set[str]) -> list[int]:
+        """The items whose share covered by the terms of a whole document is at least the threshold: no passage covers more."""
+        known = query & self.lists.keys()
+        if known.isdisjoint(self.essential):
+            return []
+        at, v = (np.concatenate(x) for x in zip(*(self.lists[t] for t in known)))
+        return np.flatnonzero(np.bincount(at, v) >= self.threshold - 1e-9).tolist()
+
+    def retrieve(self, query: set[str], items: list[int]) -> list[int]:
+        """Those of the items (in order) whose share covered by the query is at least the threshold: block-max WAND.
+
+        Only items on the lists of the essential terms met can be pivots (the other lists alone prove nothing); a block of
+        items is left out where the sum of the block maxima of all terms of the query stays below the threshold.
         """
-        pivots = sorted({i for t in hit for i in self.names[t]})
+        known = query & self.postings.keys()
+        if not items or known.isdisjoint(self.essential):
+            return []
         found: list[int] = []
-        known = [t for t in query if t in self.postings] if pivots else []
         at = 0
-        while at < len(pivots):
-            block = pivots[at] // BLOCK
-            end = bisect_left(pivots, (block + 1) * BLOCK, lo=at)
-            if sum(self.blocks[t].get(block, 0.0) for t in known) >= self.threshold - 1e-12:
-                for item in pivots[at:end]:
-                    if sum(v for t, v in self.impacts[item].items() if t in query) >= self.threshold:
+        while at < len(items):
+            block = items[at] // BLOCK
+            end = bisect_left(items, (block + 1) * BLOCK, lo=at)
+            if sum(self.blocks[t].get(block, 0.0) for t in known) >= self.threshold - 1e-9:
+                for item in items[at:end]:
+                    own = self.impacts[item]
+                    if sum(own[t] for t in known if t in own) >= self.threshold - 1e-9:
                         found.append(item)
             at = end
         return found
@@ -200,27 +187,18 @@ class ItemIndex:
         return False
 
 
-_DROP = {c: None for c in map(ord, " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f.,;:!?'\"()[]{}-_/\\|*#>=+~`^@$%&")} | {0x3000: None, 0x3001: None, 0x3002: None, 0x30FB: None, 0x85: None, 0x2028: None, 0xA0: None}
-_DROP_BYTES = bytes(c for c in _DROP if c < 128)
-
-
 def leaks(index: ItemIndex, text: str, window: int = WINDOW) -> list[int]:
     """Positions of the items that a document holds."""
     text = plain(text)
-    squeezed = text.encode().translate(None, _DROP_BYTES).decode() if text.isascii() else text.translate(_DROP)
-    hit = index.hits(squeezed)
-    if not hit:
-        return []
     tokens = words(text)
+    items = index.candidates(set(tokens) if text.isascii() else terms(tokens))
+    if not items:
+        return []
     step = window // 2
     found: set[int] = set()
     for s in range(0, max(1, len(tokens) - step), step):
         passage = tokens[s : s + window]
-        query = terms(passage)
-        met = query & hit
-        if not met:
-            continue
-        for item in index.retrieve(query, met):
+        for item in index.retrieve(terms(passage), items):
             if item not in found:
                 reach = len(index.tokens[item])
                 if index.holds(item, tokens[max(0, s - reach) : s + window + reach]):
