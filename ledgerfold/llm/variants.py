@@ -2,7 +2,8 @@
 
 Method: every distinct name is parsed to a form; forms are weighted character n-gram vectors (tf-idf over all forms); a
 distributed sparse join finds all pairs of forms of at least *threshold* cosine (all partners, not only the top n; forms
-meet on pairs of n-grams, under a bound that loses none); an exact check of the parts (edit distance of the
+meet on pairs of n-grams, under a bound that loses none), and forms whose roots are within the edit rule meet besides,
+whatever their cosine; an exact check of the parts (edit distance of the
 root, line of business, given name and initials, letters of an acronym with the firm most of its rows bear) confirms
 pairs; average-linkage clustering, weighted by rows, groups the forms, and with them the spellings.
 
@@ -232,7 +233,9 @@ def link_forms(parts: DataFrame, threshold: float = THRESHOLD, cut: float = CUT)
     """(node, cluster) of the forms in parts(form, kind, root, line, middle, initial, acronym, firm, weight)."""
     by_letters = vectors(parts, _letters)
     called = by_letters.join(parts.where("acronym <> ''").select(F.col("acronym").alias("gram")).distinct(), "gram", "left_semi").select("form", "gram", "df", "w")
-    pairs = cosine_pairs(vectors(parts), threshold).unionByName(cosine_pairs(called, 0.4)).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    pairs = cosine_pairs(vectors(parts), threshold).unionByName(cosine_pairs(called, 0.4))
+    # the cosine of a pair within the edit rule sinks as tables grow: those meet whatever it is
+    pairs = pairs.unionByName(edit_pairs(parts).withColumn("cosine", F.lit(0.0))).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     pairs = confirm(pairs, parts)
     edges = drop_ambiguous(pairs).select("a", "b", F.lit(1.0).alias("sim"), F.col("a_weight").alias("wa"), F.col("b_weight").alias("wb"))
     return average_linkage(edges, cut)

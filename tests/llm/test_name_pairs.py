@@ -4,7 +4,7 @@ import numpy as np
 
 from ledgerfold.llm.entities import BUCKETS, DIM, _tokenised, candidate_pairs
 from ledgerfold.llm.names import edits
-from ledgerfold.llm.variants import edit_pairs, same_name
+from ledgerfold.llm.variants import edit_pairs, link_forms, same_name
 
 PARTS = "form string, kind string, root string, line string, middle string, initial string, acronym string, firm string, weight double"
 
@@ -52,3 +52,9 @@ def test_no_pair_falls_to_the_cosine(spark):
     got = {(r["a"], r["b"]): r["cosine"] for r in candidate_pairs(_tokenised(df), model, idf, edit_pairs(df), tables=1, least=0.9).collect()}
     want = _accepted(spark, forms)
     assert want <= got.keys() and min(got[p] for p in want) < 0.9
+
+
+def test_variants_below_the_cosine_are_linked(spark):
+    parts = [(f"o|{r}|glass", "org", r, "glass", "", "", "", None, 1.0) for r in ("vogedadahcol", "voegdadacol", "mikutorasen")]
+    got = {r["node"]: r["cluster"] for r in link_forms(spark.createDataFrame(parts, PARTS), threshold=0.95).collect()}
+    assert got["o|vogedadahcol|glass"] == got["o|voegdadacol|glass"] and got.get("o|mikutorasen|glass") != got["o|vogedadahcol|glass"]
