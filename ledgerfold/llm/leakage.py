@@ -22,6 +22,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,13 +34,20 @@ _CJK = "぀-ヿ㐀-䶿一-鿿"
 _TOKEN = re.compile(rf"[^\W_{_CJK}]+|[{_CJK}]")
 _INLINE = re.compile(r"</?(?:b|i|em|strong|u|span|font|a|sup|sub)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!][^<>]*>")
-_HYPHEN = re.compile(r"(?<=\w)[-‐‑]\s*[\r\n \x85]+[\s>|*#]*(?=\w)")
+_HYPHEN = re.compile(r"[-‐‑](?<=\w.)\s*[\r\n \x85]+[\s>|*#]*(?=\w)")
 _HIDDEN = re.compile("[­​-‏⁠﻿�\x00-\x08\x0e-\x1f]")
+_CONTROLS = dict.fromkeys([*range(9), *range(14, 32)])
 _STRANGE = re.compile("[Ͱ-ϿЀ-ӿ]")
 #: Letters of other scripts that look like Latin ones.
 _LIKE = str.maketrans("асеорхуіјѕԁһӏкмтвнгАВЕКМНОРСТХУІЈЅαοερτνικ", "aceopxyijsdhlkmtbhrABEKMHOPCTXYIJSaoeptvik")
 
 
+@lru_cache(maxsize=1 << 16)
+def _base(c: str) -> str:
+    """A character without its accents (voicing marks of kana stay); '' for one that isn't seen."""
+    return _HIDDEN.sub("", unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x) or x in "゙゚")))
+
+
 def plain(text: str) -> str:
     """One form for all ways of typing the same words."""
     if "&" in text:
@@ -50,9 +58,11 @@ def plain(text: str) -> str:
         text = unicodedata.normalize("NFKC", text)
         if _STRANGE.search(text):
             text = text.translate(_LIKE)
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c) or c in "゙゚")
-        text = unicodedata.normalize("NFC", text)
-    text = _HIDDEN.sub("", text)
+        for c in set(text):
+            if not "\x1f" < c <= "\x7f" and (b := _base(c)) != c:
+                text = text.replace(c, b)
+    else:
+        text = text.translate(_CONTROLS)
     if "\n" in text or "\r" in text or " " in text or "\x85" in text:
         text = _HYPHEN.sub("", text)
     return text.lower()

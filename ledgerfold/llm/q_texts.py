@@ -24,14 +24,14 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOXIC = 0.1  # the prior of toxic sentences is below a hundredth, so a tenth is far above what other texts score
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, floor: float = 0.0) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scorer = train(docs, "doc_id", "text", table(spark, sf_dir, "doc_labels"), "doc_id", "toxic")
-    return score_documents(docs, "doc_id", "text", scorer, "source")
+    return score_documents(docs, "doc_id", "text", scorer, "source", floor=floor)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).where(F.col("doc_id").isNotNull() & (F.col("score") >= TOXIC)).select("doc_id").distinct()
+    return _scored(spark, sf_dir, TOXIC).where(F.col("doc_id").isNotNull() & (F.col("score") >= TOXIC)).select("doc_id").distinct()
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every source the number and the rate of abusive documents."""
     toxic = (F.col("score") >= TOXIC).cast("int")
-    return _scored(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(toxic).alias("n_toxic"), F.round(F.avg(toxic), 6).alias("rate"))
+    return _scored(spark, sf_dir, TOXIC).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(toxic).alias("n_toxic"), F.round(F.avg(toxic), 6).alias("rate"))
 
 
 QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_sources": p10_sources, "p9_found": p9_found, "p9_items": p9_items}

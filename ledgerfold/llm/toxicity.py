@@ -4,10 +4,10 @@ Method: texts are brought to one form (case, look-alike letters, digits for lett
 into sentences; features are words, pairs of words and, in scripts without spaces, runs of two and three characters. A
 linear classifier is fitted in numpy on confirmed toxic documents and unlabelled ones, both bounded samples by hash, under
 the risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)),  pi being the prior of toxic sentences, re-estimated from the scores
-between rounds. As an abusive document mostly holds other sentences too, positives are the sentences of toxic documents
-that stand out: at first by the log odds of their features, then by the model of the round before; a document without
-any is taken for wrongly labelled. A document scores as its
-worst sentence. All documents are scored, whole.
+between rounds. Labels of clean documents play no part. As an abusive document mostly holds other sentences too, positives
+are the sentences of toxic documents that stand out: at first by the log odds of their features, then by the model of the
+round before; a document without any is taken for wrongly labelled. A document scores as its worst sentence. All documents
+are scored, whole; a sentence is scored in full only if the sum of its positive weights could make it the worst one.
 
 Defined results: null and empty texts score 0; repeated rows are scored alike and appear once a doc_id where asked for
 ids; null labels are no labels; with no confirmed toxic document everything scores 0; further columns are ignored.
@@ -27,18 +27,20 @@ from pyspark.sql import functions as F
 
 from ledgerfold.llm.leakage import plain
 
-TOXIC_DOCS, CLEAN_DOCS, OTHER_DOCS, FEATURES = 3_000, 3_000, 5_000, 1 << 17
+TOXIC_DOCS, OTHER_DOCS, FEATURES = 3_000, 8_000, 1 << 17
 COMMON, LIFT = 20, 4.0  # a feature is used if so many sample documents have it, or if it is so much more frequent in toxic ones
+USUAL = (0.99, 0.995)  # what stands out among sentences: quantiles of unlabelled ones, by log odds and by a fitted model
 _LEET = str.maketrans("013457$@!", "oieasttai")  # 5 stands for s, so $ is the other of the two it may mean
-_DIGIT_LETTER = re.compile(r"[a-z][013457$@]+[a-z]|[013457$@][013457$@][a-z]\$")
+_DIGIT_LETTER = re.compile(r"[013457$@](?:(?<=[a-z].)[013457$@]*[a-z]|[013457$@][a-z]\$)")
 _TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
 _MIXED = re.compile(r"[\w$@']*[013457$@][\w$@']*")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _LETTERS = re.compile(r" [^\W\d_] ?['’]? [^\W\d_] ")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ?['’]? ){2,}[^\W\d_](?![^\W_])")
-_ZERO = repeat(0.0)
-_WORD = re.compile(r"(?!\d+(?:\W|$))[^\W_぀-ヿ㐀-鿿]+(?:'[a-z]+)?|[぀-ヿ㐀-鿿]+")  # figures alone aren't words
-_SENTENCE = re.compile(r"[^.!?。！？\n\r\x85]*\w[^.!?。！？\n\r\x85]*")
+_ZERO, _END = repeat(0.0), 1e9
+_MARK = "."
+_TOKEN = re.compile(r"[^\W_぀-ヿ㐀-鿿]+(?:'[a-z]+)?|[぀-ヿ㐀-鿿]+|[.!?。！？\n\r\x85]")
+_PLAIN = {i: chr(i) if chr(i).isalnum() or chr(i) == "'" else _MARK if chr(i) in ".!?\n\r" else " " for i in range(128)}
 
 
 def _unspace(m: re.Match) -> str:
@@ -54,25 +56,42 @@ def tidy(text: str) -> str:
     t = plain(text)
     if _DIGIT_LETTER.search(t):
         t = _MIXED.sub(_letters, t)
-    if any(x in t for x in _TRIPLES):
+    if any(map(t.__contains__, _TRIPLES)):
         t = _STRETCH.sub(r"\1", t)
     if _LETTERS.search(t):
         t = _SPACED.sub(_unspace, t)
     return t
 
 
-def sentences(text: str) -> list[str]:
-    return _SENTENCE.findall(tidy(text))
+def tokens(text: str) -> list[str]:
+    """Words of a tidied text, with a mark at the end of every sentence."""
+    if text.isascii():
+        t = text.translate(_PLAIN)
+        if "'" in t:
+            t = f" {t} ".replace("' ", " ").replace(" '", " ")
+        return t.replace(_MARK, " . ").split()
+    return [_MARK if not w[0].isalnum() else w for w in _TOKEN.findall(text)]
 
 
-def features(sentence: str) -> list[str]:
-    out, before = [], "^"
-    for w in _WORD.findall(sentence):
+def sentences(text: str) -> list[list[str]]:
+    """The words of every sentence."""
+    out: list[list[str]] = [[]]
+    for w in tokens(tidy(text)):
+        if w != _MARK:
+            out[-1].append(w)
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
+def features(words: list[str]) -> set[str]:
+    out, before = set(), _MARK
+    for w in words:
         if "぀" <= w[0] <= "鿿":
-            out += [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
+            out.update(w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1))
         else:
-            out.append(w)
-            out.append(f"{before} {w}")
+            out.add(w)
+            out.add(f"{before} {w}")
             before = w
     return out
 
@@ -80,8 +99,8 @@ def features(sentence: str) -> list[str]:
 class _Rows:
     """Sparse rows: which features a sentence or document has."""
 
-    def __init__(self, rows: list[list[str]], vocabulary: dict[str, int]) -> None:
-        lists = [sorted({vocabulary[f] for f in r if f in vocabulary}) for r in rows]
+    def __init__(self, rows: list[set[str]], vocabulary: dict[str, int]) -> None:
+        lists = [sorted(vocabulary[f] for f in r if f in vocabulary) for r in rows]
         self.n = len(rows)
         self.row = np.repeat(np.arange(self.n), np.fromiter(map(len, lists), np.int64, self.n))
         self.col = np.fromiter((x for r in lists for x in r), np.int64, len(self.row))
@@ -97,25 +116,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def nnpu(positive: _Rows, unlabelled: _Rows, clean: _Rows, size: int, prior: float, epochs: int = 80, rate: float = 0.3, ridge: float = 2e-6, known: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights and bias under the non-negative risk with logistic loss; *clean* are confirmed negatives, sharing its negative part."""
+def nnpu(positive: _Rows, unlabelled: _Rows, size: int, prior: float, epochs: int = 80, rate: float = 0.3, ridge: float = 2e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias under the non-negative risk with logistic loss."""
     w, b = np.zeros(size), -2.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    gamma = known if clean.n else 0.0
     for step in range(1, epochs + 1):
-        fp, fu, fc = (r.score(w, b) for r in (positive, unlabelled, clean))
-        up, uu, uc = _sigmoid(fp), _sigmoid(fu), _sigmoid(fc)
+        fp, fu = positive.score(w, b), unlabelled.score(w, b)
+        up, uu = _sigmoid(fp), _sigmoid(fu)
         # negative risk of the unlabelled, corrected for the toxic ones among them
         corrected = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean() if unlabelled.n else 0.0
-        gp = prior * (up - 1) / max(1, positive.n)
-        gu = np.zeros(unlabelled.n)
         sign = 1.0 if corrected >= 0 else -1.0  # below zero the step goes back up, as the method wants
-        if unlabelled.n:
-            gu = sign * (1 - gamma) * uu / unlabelled.n
-            gp = gp - sign * (1 - gamma) * prior * up / max(1, positive.n)
-        gc = gamma * (1 - prior) * uc / max(1, clean.n)
-        g = positive.gradient(gp, size) + unlabelled.gradient(gu, size) + clean.gradient(gc, size) + ridge * w
-        gb = gp.sum() + gu.sum() + gc.sum()
+        gu = sign * uu / max(1, unlabelled.n)
+        gp = prior * (up - 1 - sign * up) / max(1, positive.n)
+        g = positive.gradient(gp, size) + unlabelled.gradient(gu, size) + ridge * w
+        gb = gp.sum() + gu.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
@@ -123,11 +137,14 @@ def nnpu(positive: _Rows, unlabelled: _Rows, clean: _Rows, size: int, prior: flo
     return w, b
 
 
-def fit(toxic: list[list[list[str]]], clean: list[list[list[str]]], other: list[list[list[str]]], rounds: int = 3) -> tuple[dict[str, float], float]:
+def fit(toxic: list[list[set[str]]], other: list[list[set[str]]], rounds: int = 3) -> tuple[dict[str, float], float]:
     """Weights of features and the bias, from documents given as lists of sentences of features."""
-    df = Counter(f for docs in (toxic, clean, other) for d in docs for f in {f for s in d for f in s})
-    in_toxic = Counter(f for d in toxic for f in {f for s in d for f in s})
-    share = len(toxic) / max(1, len(toxic) + len(clean) + len(other))
+    df, in_toxic = Counter(), Counter()
+    for counts, docs in ((in_toxic, toxic), (df, other)):
+        for d in docs:
+            counts.update(set().union(*d))
+    df.update(in_toxic)
+    share = len(toxic) / max(1, len(toxic) + len(other))
     told = {f for f in in_toxic if in_toxic[f] >= 2 and in_toxic[f] >= LIFT * share * df[f]}
     kept = sorted((f for f in df if df[f] >= COMMON or f in told), key=lambda f: (f not in told, -df[f], f))[:FEATURES]
     vocabulary = {f: i for i, f in enumerate(kept)}
@@ -135,18 +152,19 @@ def fit(toxic: list[list[list[str]]], clean: list[list[list[str]]], other: list[
     if not toxic or not size:
         return {}, -30.0
 
-    def rows(items: list[list[str]]) -> _Rows:
+    def rows(items: list[set[str]]) -> _Rows:
         return _Rows(items, vocabulary)
 
-    clean_s, other_s = rows([s for d in clean for s in d]), rows([s for d in other for s in d])
+    other_s = rows([s for d in other for s in d])
     every = [s for d in toxic for s in d]
     toxic_s = rows(every)
     owner = np.repeat(np.arange(len(toxic)), [len(d) for d in toxic])
     # first picture: log odds of every feature between toxic and other documents, a document's own mention left out
-    n_toxic, n_rest = len(toxic), len(clean) + len(other)
+    n_toxic, n_rest = len(toxic), len(other)
     a, d = (np.array([c[f] for f in kept], float) for c in (in_toxic, df))
     odds = lambda x: np.log((x + 0.5) / (n_toxic + 1)) - np.log((d - a + 0.5) / (n_rest + 1))
-    scores, usual = toxic_s.score(np.maximum(odds(np.maximum(a - 1, 0)), 0), 0.0), np.quantile((clean_s if clean_s.n else other_s).score(np.maximum(odds(a), 0), 0.0), 0.999)
+    first = np.maximum(odds(a), 0)
+    scores, usual = toxic_s.score(np.maximum(odds(np.maximum(a - 1, 0)), 0), 0.0), np.quantile(other_s.score(first, 0.0), USUAL[0]) if other_s.n else 0.0
     w, b = np.zeros(size), 0.0
     for turn in range(rounds):
         best = np.full(len(toxic), -np.inf)
@@ -154,11 +172,12 @@ def fit(toxic: list[list[list[str]]], clean: list[list[list[str]]], other: list[
         chosen = scores > usual
         if not chosen.any():
             chosen = scores >= best[owner]
-        now = other_s.score(w, b) if turn else other_s.score(np.maximum(odds(a), 0), 0.0)
-        prior = min(0.05, max(0.001, float((now > usual).mean()) if other_s.n else 0.01))
-        w, b = nnpu(rows([every[i] for i in np.flatnonzero(chosen)]), other_s, clean_s, size, prior)
-        scores, usual = toxic_s.score(w, b), max(-1.5, float(np.quantile((clean_s if clean_s.n else other_s).score(w, b), 0.9995)))
-    return {f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-3}, b
+        now = other_s.score(w, b) if turn else other_s.score(first, 0.0)
+        # unlabelled sentences above the middle of the positives hold half of the toxic ones among them, and hardly any other
+        prior = min(0.05, max(0.0005, 2 * float((now > np.median(scores[chosen])).mean()) if other_s.n else 0.01))
+        w, b = nnpu(rows([every[i] for i in np.flatnonzero(chosen)]), other_s, size, prior)
+        scores, usual = toxic_s.score(w, b), max(-1.5, float(np.quantile(other_s.score(w, b), USUAL[1]))) if other_s.n else -1.5
+    return {f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 0.02}, b
 
 
 class Scorer:
@@ -174,22 +193,44 @@ class Scorer:
                 self.runs[f] = x
             else:
                 self.single[f] = x
+        #: What a word or a pair can add at most.
+        self.most = {w: x for w, x in self.single.items() if x > 0} | {_MARK: _END}
+        self.most_pairs = {p: x for p, x in self.pairs.items() if x > 0}
 
-    def sentence(self, text: str) -> float:
-        found = _WORD.findall(text)
+    def sentence(self, words: list[str]) -> float:
         total = self.bias
-        if not text.isascii():
-            cjk = [w for w in found if "぀" <= w[0] <= "鿿"]
-            if cjk:
-                found = [w for w in found if not "぀" <= w[0] <= "鿿"]
-                total += sum(map(self.runs.get, {w[i : i + n] for w in cjk for n in (2, 3) for i in range(len(w) - n + 1)}, _ZERO))
-        return total + sum(map(self.single.get, set(found), _ZERO)) + sum(map(self.pairs.get, set(zip(["^", *found], found)), _ZERO))
-
-    def score(self, text: str | None) -> float:
+        cjk = [w for w in words if "぀" <= w[0] <= "鿿"]
+        if cjk:
+            words = [w for w in words if not "぀" <= w[0] <= "鿿"]
+            total += sum(map(self.runs.get, {w[i : i + n] for w in cjk for n in (2, 3) for i in range(len(w) - n + 1)}, _ZERO))
+        return total + sum(map(self.single.get, set(words), _ZERO)) + sum(map(self.pairs.get, set(zip([_MARK, *words], words)), _ZERO))
+
+    def logit(self, text: str, least: float = -np.inf) -> float:
+        """The worst sentence's score; below *least*, anything below it."""
+        words = [*tokens(tidy(text)), _MARK]
+        hits = np.fromiter(map(self.most.get, words, _ZERO), float, len(words))
+        ends = np.flatnonzero(hits == _END)
+        hits[ends] = 0.0
+        hits += np.fromiter(map(self.most_pairs.get, zip([_MARK, *words], words), _ZERO), float, len(words))
+        bounds = np.diff(np.cumsum(hits)[ends], prepend=0.0) + (self.bias + 1e-9)
+        if not text.isascii() and any("぀" <= w[0] <= "鿿" for w in words):  # their runs are in no bound
+            bounds[:] = np.inf
+        worst = -np.inf
+        likely = np.flatnonzero(bounds >= least)
+        for i in likely[np.argsort(-bounds[likely], kind="stable")].tolist():
+            if bounds[i] < worst:
+                break
+            start = ends[i - 1] + 1 if i else 0
+            if ends[i] > start:
+                worst = max(worst, self.sentence(words[start : ends[i]]))
+        return worst
+
+    def score(self, text: str | None, floor: float = 0.0) -> float:
+        """The chance that the text is abusive; one below *floor* may be given as 0."""
         if not text:
             return 0.0
-        worst = max(map(self.sentence, sentences(text)), default=None)
-        return 0.0 if worst is None else float(_sigmoid(np.float64(worst)))
+        worst = self.logit(text, float(np.log(floor / (1 - floor))) if floor > 0 else -np.inf)
+        return 0.0 if worst == -np.inf else float(_sigmoid(np.float64(worst)))
 
 
 def labelled(labels: DataFrame, doc_id: str, toxic: str) -> DataFrame:
@@ -199,26 +240,24 @@ def labelled(labels: DataFrame, doc_id: str, toxic: str) -> DataFrame:
 
 
 def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, toxic: str) -> Scorer:
-    """A scorer fitted on bounded samples: confirmed toxic, confirmed clean and other documents, each by hash of the id."""
+    """A scorer fitted on bounded samples: confirmed toxic and other documents, both by hash of the id, read in one scan."""
+    spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    y = labelled(labels, label_id, toxic)
-    count = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
-
-    def draw(source: DataFrame, n: int, limit: int) -> list:
-        share = min(1.0, 1.5 * limit / max(1, n))  # thinned before it is sorted, so that no more comes to the driver
-        h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-        return [r["text"] for r in source.where(h < int(share * (1 << 30))).orderBy(h, "doc_id").limit(limit).select("text").collect()]
-
-    marked = d.join(y, "doc_id")
-    toxic_texts = draw(marked.where("y = 1"), count.get(1, 0), TOXIC_DOCS)
-    clean_texts = draw(marked.where("y = 0"), count.get(0, 0), CLEAN_DOCS)
-    other_texts = draw(d, docs.count(), OTHER_DOCS)  # unlabelled: a few confirmed ones among them do no harm
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    ids = [r[0] for r in labelled(labels, label_id, toxic).where("y = 1").orderBy(h, "doc_id").limit(TOXIC_DOCS).select("doc_id").collect()]
+    if not ids:
+        return Scorer({}, -30.0)
+    share = min(1.0, 1.2 * OTHER_DOCS / max(1, docs.count()))  # thinned by hash, so that a bounded number comes to the driver
+    confirmed = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id bigint").withColumn("y", F.lit(1)))  # at most TOXIC_DOCS rows
+    drawn = d.join(confirmed, "doc_id", "left").where(F.col("y").isNotNull() | (h < int(share * (1 << 30)))).select("doc_id", "text", "y", h.alias("h")).dropDuplicates(["doc_id"]).toPandas().sort_values(["h", "doc_id"])
     cut = lambda texts: [[features(s) for s in sentences(t)] for t in texts]
-    return Scorer(*fit(cut(toxic_texts), cut(clean_texts), cut(other_texts)))
+    marked = drawn["y"].notna()
+    other = drawn[drawn["h"] < int(share * (1 << 30))]["text"][:OTHER_DOCS]  # unlabelled: a few confirmed ones among them belong there
+    return Scorer(*fit(cut(drawn[marked]["text"]), cut(other)))
 
 
-def score_documents(docs: DataFrame, doc_id: str, text: str, scorer: Scorer, *keep: str) -> DataFrame:
-    """(doc_id, score, *keep) of every document."""
+def score_documents(docs: DataFrame, doc_id: str, text: str, scorer: Scorer, *keep: str, floor: float = 0.0) -> DataFrame:
+    """(doc_id, score, *keep) of every document; scores below *floor* may be given as 0."""
     ship = docs.sparkSession.sparkContext.broadcast(scorer)
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *keep)
     schema = "doc_id bigint, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in keep)
@@ -226,6 +265,6 @@ def score_documents(docs: DataFrame, doc_id: str, text: str, scorer: Scorer, *ke
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = ship.value
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": [s.score(t) for t in f["text"]]} | {c: f[c] for c in keep})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "score": [s.score(t, floor) for t in f["text"]]} | {c: f[c] for c in keep})
 
     return d.mapInPandas(run, schema)

@@ -30,7 +30,7 @@ def test_find_leaks(spark):
 def test_tidy():
     assert tidy("You are an 1d10t") == "you are an idiot"
     assert tidy("stuuuuupid i d i o t here") == "stupid idiot here"
-    assert "馬鹿" in "".join(features(sentences("この馬鹿野郎。")[0]))
+    assert "馬鹿" in features(sentences("この馬鹿野郎。")[0])
 
 
 def test_learning(spark):
@@ -42,4 +42,32 @@ def test_learning(spark):
     scorer = train(d, "doc_id", "text", y, "doc_id", "toxic")
     scores = {r["doc_id"]: r["score"] for r in score_documents(d, "doc_id", "text", scorer).collect()}
     assert all((scores[i] > 0.1) == (i % 10 == 0) for i in range(150, 300)) and scores[900] == scores[901] == 0.0
-    assert isinstance(train(d, "doc_id", "text", y.limit(0), "doc_id", "toxic"), Scorer) and fit([], [], [])[0] == {}
+    assert isinstance(train(d, "doc_id", "text", y.limit(0), "doc_id", "toxic"), Scorer) and fit([], [])[0] == {}
+
+
+def test_bound_is_exact():
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weights = {w: rng.uniform(-2, 2) for w in vocabulary} | {f"{a} {b}": rng.uniform(-3, 3) for a, b in (rng.choices(vocabulary, k=2) for _ in range(300))} | {"馬鹿": 2.5, "野郎": 1.0}
+    s = Scorer(weights, -4.0)
+    texts = [" ".join(rng.choices([*vocabulary, ".", "x。", "馬鹿野郎"], k=rng.randint(1, 120))) for _ in range(300)]
+    for t in texts:
+        worst = max(map(s.sentence, sentences(t)), default=-30.0)
+        exact = 1 / (1 + 2.718281828459045 ** -worst)
+        assert abs(s.score(t) - exact) < 1e-9 or not sentences(t)
+        assert (s.score(t, 0.1) >= 0.1) == (exact >= 0.1)
+
+
+def test_unlabelled_negatives_are_corrected():
+    """With a third of the unlabelled being positive, the corrected risk still tells them apart."""
+    import numpy as np
+
+    from ledgerfold.llm.toxicity import _Rows, nnpu
+
+    vocabulary = {"bad": 0, "good": 1, "both": 2}
+    positive = _Rows([{"bad", "both"}] * 50, vocabulary)
+    unlabelled = _Rows([{"bad", "both"}] * 100 + [{"good", "both"}] * 200, vocabulary)
+    w, b = nnpu(positive, unlabelled, 3, 1 / 3)
+    assert w[0] + w[2] + b > 0 > w[1] + w[2] + b and np.isfinite(w).all()
