@@ -1,8 +1,9 @@
 """Items that appear together: pair counts and association over baskets, with large-basket blocking.
 
 Method: baskets of up to *chunk* items give their pairs directly. A larger one is split by hash into chunks of about that
-size; every pair of its chunks is one row, spread over all tasks, and gives the products of the two chunks. Both kinds of
-pairs are summed with combiners before the shuffle, and joined with the single counts for the scores.
+size; every chunk is repeated for each of its partners, and the two chunks of a pair meet under a key of their own, so that
+the pairs of one basket are spread over all tasks. Both kinds of pairs are summed with combiners before the shuffle, and
+joined with the single counts for the scores.
 
 Defined results: items are compared in upper case without white space; null or empty items and null baskets don't count;
 repeats in a basket count once; empty input gives an empty result; other columns are ignored.
@@ -30,13 +31,21 @@ def _ordered_pairs(items: str) -> str:
 def pair_counts(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(a, b, together) with a < b of every pair of items in a common basket."""
     sizes = members.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-    parts = members.join(sizes, "basket").withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
-    parts = parts.withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
-    blocks = parts.groupBy("basket", "chunks", "chunk").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    n_rows, parts = members.count(), int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # baskets of more than a quarter of a task's share are at most four a task: their sizes go to all rows, the rest is joined
+    fair = max(chunk, n_rows // (4 * parts))
+    hot = sizes.where(F.col("size") > fair)
+    marked = members.join(F.broadcast(hot), "basket", "left")
+    usual = marked.where("size IS NULL").drop("size").join(sizes.where(F.col("size") <= fair), "basket")
+    parts_of = marked.where("size IS NOT NULL").unionByName(usual).withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
+    parts_of = parts_of.withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
+    blocks = parts_of.groupBy("basket", "chunks", "chunk").agg(F.sort_array(F.collect_list("item")).alias("items"))
     inner = blocks.where("size(items) > 1").select(F.explode(F.expr(_ordered_pairs("items"))).alias("p"))
-    left = blocks.where("chunks > 1")
-    right = left.select("basket", F.col("chunk").alias("other"), F.col("items").alias("others"))
-    across = left.join(right, "basket").where("chunk < other").repartition("basket", "chunk", "other")
+    split = blocks.where("chunks > 1")
+    # sequence(5, 4) would count down, so the last chunk has no partners above and the first none below
+    left = split.where("chunk < chunks - 1").select("basket", F.col("chunk").alias("low"), F.explode(F.expr("sequence(chunk + 1, chunks - 1)")).alias("high"), "items")
+    right = split.where("chunk > 0").select("basket", F.explode(F.expr("sequence(0, chunk - 1)")).alias("low"), F.col("chunk").alias("high"), F.col("items").alias("others"))
+    across = left.join(right, ["basket", "low", "high"])
     product = F.expr("flatten(transform(items, x -> transform(others, y -> struct(least(x, y) AS a, greatest(x, y) AS b))))")
     pairs = inner.unionByName(across.select(F.explode(product).alias("p")))
     return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("together"))

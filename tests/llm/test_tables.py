@@ -5,7 +5,7 @@ import numpy as np
 
 from ledgerfold.llm.cooccur import associations
 from ledgerfold.llm.packing import pack, pack_lengths
-from ledgerfold.llm.topn import top_n
+from ledgerfold.llm.topn import candidates, rank_candidates, top_n
 
 SURFACE = "firm string, cluster string, year int, score double, at timestamp, grp string, rank int"
 
@@ -31,6 +31,25 @@ def test_top_n(spark):
     assert top_n(spark.createDataFrame([], SURFACE), "firm", "cluster", "year", "score", "at", 5).count() == 0
 
 
+def test_top_n_skips(spark):
+    """Most row groups of large groups lie below their N-th score and are not read."""
+    rng, t = random.Random(8), dt.datetime(2024, 1, 1)
+    rows = [(f"f{i % 60}", f"c{i}", 2020, rng.random(), t, None, None) for i in range(24_000)]
+    found = candidates(spark.createDataFrame(rows, SURFACE), "firm", "cluster", "year", "score", "at", 5, row_group_bytes=4096)
+    read, skipped = found.selectExpr("sum(row_groups)", "sum(skipped)").first()
+    assert skipped > 4 * read
+    want = {(f, c) for f in {r[0] for r in rows} for _, c in sorted((-r[3], r[1]) for r in rows if r[0] == f)[:5]}
+    assert {(r["grp"], r["item"]) for r in rank_candidates(found, 5).collect()} == want
+
+
+def test_one_basket_of_thousands(spark):
+    """Every pair of one basket of 3,000 items comes once, through pairs of chunks."""
+    rows = [("hot", f"i{i:04d}", "x") for i in range(3000)] + [("b", "i0001", "x"), ("b", "i0002", "x")]
+    got = associations(spark.createDataFrame(rows, "basket string, item string, chunk string"), "basket", "item")
+    n, two, most = got.selectExpr("count(*)", "sum(CASE WHEN together = 2 THEN 1 ELSE 0 END)", "max(together)").first()
+    assert (n, two, most) == (3000 * 2999 // 2, 1, 2)
+
+
 def test_cooccurrence(spark):
     rng = random.Random(4)
     rows = [(f"b{rng.randrange(30)}", f"i {rng.randrange(12)}", "x") for _ in range(200)] + [("big", f"i{i}", "x") for i in range(90)] + [(None, "i1", "x"), ("b1", None, "x"), ("b1", " ", "x")]
