@@ -65,7 +65,7 @@ def black_scholes_call(s: Column, k: Column, years: Column, rate: float, sigma:
 
 def int_date(col: Column) -> Column:
     """YYYYMMDD integers to dates; 0 and null are unknown."""
-    return F.when(col > 0, F.try_to_date(col.cast("string"), F.lit("yyyyMMdd")) if hasattr(F, "try_to_date") else F.to_date(col.cast("string"), "yyyyMMdd"))
+    return F.when(col > 0, F.try_to_date(col.cast("string"), "yyyyMMdd"))
 
 
 def token_sort(name: Column) -> Column:

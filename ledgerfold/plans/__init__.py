@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational", "analytic", "core_problems"]
+MODULES = ["relational", "analytic", "core_problems", "domain", "pipeline"]
 
 
 def collect() -> tuple[dict, dict]:

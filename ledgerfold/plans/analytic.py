@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.catalog import table
-from ledgerfold.functions.columns import black_scholes_call, cosine, fit_score, inverse_distance, jaccard, similarity, token_sort
+from ledgerfold.functions.columns import black_scholes_call
 from ledgerfold.operators.graph import bfs, components, triangles
 from ledgerfold.operators.similar import centroids, nearest_centroids, set_similarity
 from ledgerfold.operators.simulate import portfolio_var
@@ -28,19 +28,9 @@ def cluster_centroid_norms(spark: SparkSession, d: str) -> DataFrame:
     return c.select("label", F.round(F.sqrt(F.aggregate("centre", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("centre_norm"), "n")
 
 
-def firm_fit_surface(spark: SparkSession, d: str) -> DataFrame:
-    """Fit of every firm-year of 2020 with the class of the largest portfolio of each section: cosine, distance, classes."""
-    v = table(spark, d, "firm_tech_vectors").where("tech_vector IS NOT NULL AND size(tech_vector) = 64 AND year = 2020").dropDuplicates(["firm_id"])
-    w = Window.partitionBy(F.substring("dominant_cpc", 1, 1)).orderBy(F.desc("patent_count"), "firm_id")
-    leaders = v.where("dominant_cpc IS NOT NULL").withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.substring("dominant_cpc", 1, 1).alias("section"), F.col("tech_vector").alias("centre"), F.col("dominant_cpc").alias("code"))
-    cross = v.crossJoin(F.broadcast(leaders))  # one row a section, nine at most
-    classes = jaccard(F.array(F.coalesce("dominant_cpc", F.lit(""))), F.array("code"))
-    return cross.select("firm_id", "section", F.round(fit_score(cosine(F.col("tech_vector"), F.col("centre")), inverse_distance(F.col("tech_vector"), F.col("centre")), classes), 6).alias("score"))
-
-
 def jaccard_similar_firms(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "startability_surface").where("firm_id IS NOT NULL AND score > 0.5 AND NOT isnan(score)").select("firm_id", "cluster_id").distinct()
-    return set_similarity(s, "firm_id", "cluster_id", "company_1001", top=10**6).where("jaccard > 0.01")
+    return set_similarity(s, "firm_id", "cluster_id", "company_1001").where("jaccard > 0.01")
 
 
 def vector_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -67,16 +57,6 @@ def network_clustering(spark: SparkSession, d: str) -> DataFrame:
     return t.select("node", "degree", "triangles", F.round("coefficient", 6).alias("coefficient"))
 
 
-def fuzzy_supplier_join(spark: SparkSession, d: str) -> DataFrame:
-    """Typed supplier names against the registry: blocked on the first letters, the best ratio of sorted words, at least 0.84."""
-    s = table(spark, d, "supplier").select("s_suppkey", token_sort(F.col("s_name")).alias("name"))
-    typed = s.select(F.col("s_suppkey").alias("typed_key"), F.regexp_replace("name", "supp", "sup").alias("typed"))
-    j = typed.join(s, F.expr("left(typed, 6) = left(name, 6) AND abs(length(typed) - length(name)) <= 2"))
-    j = j.withColumn("ratio", F.round(similarity(F.col("typed"), F.col("name")), 6)).where("ratio >= 0.84")
-    w = Window.partitionBy("typed_key").orderBy(F.desc("ratio"), "s_suppkey")
-    return j.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("typed_key", "s_suppkey", "ratio")
-
-
 def text_ranked_search(spark: SparkSession, d: str) -> DataFrame:
     return bm25(table(spark, d, "documents"), "doc_id", "text", ["antenna", "gearbox", "licensing"]).orderBy(F.desc("score"), "doc_id").limit(200)
 
@@ -122,7 +102,7 @@ def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("windows"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk_centroid, cluster_centroid_norms, firm_fit_surface, jaccard_similar_firms, vector_quality, citation_network_bfs, citation_components, network_clustering, fuzzy_supplier_join, text_ranked_search, patent_option_value, portfolio_value_at_risk, upsert_orders, insert_ignore_events, audit_hash_chain, stream_watch_alerts, stream_daily_counts)}
+QUERIES = {f.__name__: f for f in (cosine_topk_centroid, cluster_centroid_norms, jaccard_similar_firms, vector_quality, citation_network_bfs, citation_components, network_clustering, text_ranked_search, patent_option_value, portfolio_value_at_risk, upsert_orders, insert_ignore_events, audit_hash_chain, stream_watch_alerts, stream_daily_counts)}
 
 _CENTRE = "c AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS pos FROM embeddings) GROUP BY label, pos), centre AS (SELECT label, list(m ORDER BY pos) AS v FROM c GROUP BY label)"
 SQL = {
@@ -151,6 +131,12 @@ c AS (SELECT doc_id, len(w) AS l, len(list_filter(w, lambda x: x = 'antenna')) A
 s AS (SELECT count(*) AS n, avg(l) AS mean, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2 FROM c)
 SELECT doc_id, round(ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * l / mean)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * l / mean)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * l / mean)), 6) AS score
 FROM c, s WHERE t0 + t1 + t2 > 0 ORDER BY score DESC, doc_id LIMIT 200""",
+    "patent_option_value": with_roles("""
+WITH a AS (SELECT id, value, greatest(20.0::DOUBLE - (2005.0::DOUBLE - y), 0.5::DOUBLE) AS years FROM records), b AS (SELECT *, (ln(value / 100000.0::DOUBLE) + (0.02::DOUBLE + 0.045::DOUBLE) * years) / (0.3::DOUBLE * sqrt(years)) AS d1 FROM a), c AS (SELECT *, d1 - 0.3::DOUBLE * sqrt(years) AS d2 FROM b),
+e AS (SELECT *, abs(d1) / sqrt(2) AS z1, abs(d2) / sqrt(2) AS z2 FROM c), f AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z1) AS t1, 1 / (1 + 0.3275911::DOUBLE * z2) AS t2 FROM e)
+SELECT id, round(value * (CASE WHEN d1 >= 0 THEN (1 + 1 - t1 * (0.254829592 + t1 * (-0.284496736 + t1 * (1.421413741 + t1 * (-1.453152027 + t1 * 1.061405429)))) * exp(-z1 * z1)) / 2 ELSE (1 - (1 - t1 * (0.254829592 + t1 * (-0.284496736 + t1 * (1.421413741 + t1 * (-1.453152027 + t1 * 1.061405429)))) * exp(-z1 * z1))) / 2 END) - 100000 * exp(-0.02::DOUBLE * years) * (CASE WHEN d2 >= 0 THEN (1 + 1 - t2 * (0.254829592 + t2 * (-0.284496736 + t2 * (1.421413741 + t2 * (-1.453152027 + t2 * 1.061405429)))) * exp(-z2 * z2)) / 2 ELSE (1 - (1 - t2 * (0.254829592 + t2 * (-0.284496736 + t2 * (1.421413741 + t2 * (-1.453152027 + t2 * 1.061405429)))) * exp(-z2 * z2))) / 2 END), 2) AS option_value FROM f"""),
+    "audit_hash_chain": "SELECT user_id, list_reduce(list_prepend('', list(coalesce(CAST(event_type AS VARCHAR), '') ORDER BY event_id, event_type)), lambda a, e: sha256(a || '|' || e)) AS head FROM events GROUP BY user_id",
+    "stream_daily_counts": "WITH m AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events), w AS (SELECT DISTINCT event_type, date_trunc('day', ts) AS start FROM events) SELECT event_type, count(*) AS windows FROM w, m WHERE start + INTERVAL 1 DAY <= mark GROUP BY event_type",
     "upsert_orders": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'U' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END * o_totalprice), 0) AS total FROM orders GROUP BY 1",
     "insert_ignore_events": "SELECT count(DISTINCT user_id) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
     "stream_watch_alerts": "SELECT concat('w-', event_type) AS watch, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type HAVING count(*) >= 5",

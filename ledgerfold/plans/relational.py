@@ -19,7 +19,7 @@ FROM records r JOIN codes c ON r.id = c.id GROUP BY c.code, r.y, r.q""",
     "tech_landscape_growth": """
 WITH counts AS (SELECT c.code, r.y, count(DISTINCT r.id) AS n FROM records r JOIN codes c ON r.id = c.id GROUP BY c.code, r.y),
 anchored AS (SELECT *, max(y) OVER () AS last_y FROM counts),
-blocks AS (SELECT code, CAST(sum(CASE WHEN y > last_y - 3 THEN n ELSE 0 END) AS BIGINT) AS recent, CAST(sum(CASE WHEN y > last_y - 6 AND y <= last_y - 3 THEN n ELSE 0 END) AS BIGINT) AS previous FROM anchored GROUP BY code)
+blocks AS (SELECT code, CAST(sum(CASE WHEN y > last_y - 5 THEN n ELSE 0 END) AS BIGINT) AS recent, CAST(sum(CASE WHEN y > last_y - 6 AND y <= last_y - 5 THEN n ELSE 0 END) AS BIGINT) AS previous FROM anchored GROUP BY code)
 SELECT code, recent, previous, round((recent - previous) / CAST(nullif(previous, 0) AS DOUBLE), 6) AS growth FROM blocks""",
     "top_applicants_share": """
 SELECT firm, n, round(100.0 * n / total, 4) AS share_pct FROM (
@@ -34,11 +34,9 @@ SELECT r.id, CAST(r.d AS VARCHAR(10)) AS filed, r.status, round(r.value, 2) AS v
     "patent_detail_nested_counts": """
 SELECT r.id, count(DISTINCT c.code) AS n_codes, count(DISTINCT o.firm) AS n_firms FROM records r LEFT JOIN codes c ON r.id = c.id LEFT JOIN owners o ON r.id = o.id GROUP BY r.id""",
     "co_applicant_edges": """
-SELECT a.firm AS firm_a, b.firm AS firm_b, count(DISTINCT a.id) AS shared FROM owners a JOIN owners b ON a.id = b.id AND a.firm < b.firm GROUP BY a.firm, b.firm HAVING count(DISTINCT a.id) >= 5""",
+SELECT a.firm AS firm_a, b.firm AS firm_b, count(*) AS shared FROM owners a JOIN owners b ON a.id = b.id AND a.firm < b.firm GROUP BY a.firm, b.firm HAVING count(*) >= 5""",
     "patent_compare_shared": """
 SELECT code FROM (SELECT c.code, count(DISTINCT o.firm) AS n FROM owners o JOIN codes c ON o.id = c.id WHERE o.firm IN (1, 2, 3) GROUP BY c.code) WHERE n = 3""",
-    "patent_compare_unique": """
-SELECT code, min(firm) AS firm FROM (SELECT DISTINCT o.firm, concat(c.code, '/', c.section) AS code FROM owners o JOIN codes c ON o.id = c.id WHERE o.firm IN (1, 2, 3)) GROUP BY code HAVING count(*) = 1""",
     # search: intersections of semi joins, facets
     "search_multi_class_intersect": """
 SELECT r.id, r.y FROM records r WHERE r.id IN (SELECT id FROM codes WHERE code = 'Brand#11') AND r.id IN (SELECT id FROM codes WHERE code = 'Brand#12') AND r.y BETWEEN 1996 AND 1999""",
@@ -54,9 +52,6 @@ SELECT t.trial_number, count(DISTINCT a.publication_number) AS n FROM (SELECT DI
 JOIN (SELECT DISTINCT publication_number, regexp_extract(publication_number, '([0-9]{6,})', 1) AS num FROM patent_assignees) a ON t.num = a.num WHERE t.num <> '' GROUP BY t.trial_number""",
     "j11_exists_litigated": """
 SELECT count(*) AS n FROM (SELECT DISTINCT publication_number FROM patent_cpc) p WHERE EXISTS (SELECT 1 FROM sep_declarations s WHERE s.publication_number = p.publication_number)""",
-    "new_entrants_anti": """
-WITH years AS (SELECT DISTINCT o.firm, c.code, r.y FROM owners o JOIN records r ON o.id = r.id JOIN codes c ON c.id = r.id)
-SELECT code, count(DISTINCT firm) AS entrants FROM years a WHERE y = 2000 AND NOT EXISTS (SELECT 1 FROM years b WHERE b.firm = a.firm AND b.code = a.code AND b.y < 1996) GROUP BY code""",
     # time series
     "momentum_growth_accel": """
 SELECT code, y, n, round(growth, 6) AS growth, round(CASE WHEN lag(y) OVER w IS NULL THEN 0.0 ELSE growth - lag(growth) OVER w END, 6) AS acceleration
@@ -140,7 +135,7 @@ SELECT firm_id, CAST(sum(CASE WHEN p <= 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS lea
     "ma_consolidation": """
 WITH own AS (SELECT cluster_id, max(score) AS s FROM surface WHERE firm_id = 'company_1001' AND year >= 2020 GROUP BY cluster_id),
 x AS (SELECT t.firm_id, sum(t.s * own.s) AS raw FROM (SELECT firm_id, cluster_id, max(score) AS s FROM surface WHERE year >= 2020 AND firm_id <> 'company_1001' GROUP BY firm_id, cluster_id) t JOIN own ON own.cluster_id = t.cluster_id GROUP BY t.firm_id)
-SELECT firm_id, round(raw / nullif(max(raw) OVER (), 0), 6) AS fit FROM x""",
+SELECT firm_id, round(raw / nullif(top, 0), 6) AS fit FROM x CROSS JOIN (SELECT max(raw) AS top FROM x)""",
     # citations and flows
     "citation_counts_full_outer": """
 SELECT coalesce(a.p, b.p) AS publication_number, coalesce(a.n, 0) AS citing_count, coalesce(b.n, 0) AS cited_by_count
@@ -189,8 +184,11 @@ SELECT firm, CAST(sum(d) AS BIGINT) AS as_defendant, CAST(sum(p) AS BIGINT) AS a
     # value, family, status
     "family_size": "SELECT family, count(*) AS family_size FROM records GROUP BY family",
     "value_index_minmax": """
-WITH f AS (SELECT cited AS id, count(*) AS c FROM cites GROUP BY cited), v AS (SELECT r.id, 0.35 * ln(1 + coalesce(f.c, 0)) + 0.20 * ln(greatest(count(*) OVER (PARTITION BY r.family), 1)) + 0.25 * greatest(0.0, least(1.0, (r.y + 20 - 2005) / 20.0)) AS raw FROM records r LEFT JOIN f ON f.id = r.id)
-SELECT id, round((raw - min(raw) OVER ()) / nullif(max(raw) OVER () - min(raw) OVER (), 0), 6) AS value_score FROM v""",
+WITH f AS (SELECT cited AS id, count(*) AS c FROM cites GROUP BY cited), fam AS (SELECT family, count(*) AS n FROM records GROUP BY family), last AS (SELECT max(y) AS now_y FROM records),
+m AS (SELECT c.id, max(greatest(0.0, least(1.0, mo.up / CAST(mo.before AS DOUBLE)))) AS g FROM codes c JOIN momentum mo ON mo.code = c.code CROSS JOIN last WHERE mo.y = now_y AND mo.before > 0 GROUP BY c.id),
+v AS (SELECT r.id, 0.35 * ln(1 + coalesce(f.c, 0)) + 0.20 * ln(greatest(fam.n, 1)) + 0.25 * greatest(0.0, least(1.0, (r.y + 20 - now_y) / 20.0)) + 0.20 * coalesce(m.g, 0.0) AS raw FROM records r CROSS JOIN last JOIN fam ON fam.family = r.family LEFT JOIN f ON f.id = r.id LEFT JOIN m ON m.id = r.id),
+b AS (SELECT min(raw) AS low, max(raw) AS high FROM v)
+SELECT id, round((raw - low) / nullif(high - low, 0), 6) AS value_score FROM v CROSS JOIN b""",
     "legal_status_expiry": """
 SELECT id, CASE WHEN status = 'P' THEN 'pending' WHEN y + 20 < 2017 THEN 'expired' WHEN status = 'F' THEN 'alive' ELSE 'abandoned' END AS legal, CAST(y + 20 AS INT) AS expiry_year FROM records""",
     "expiry_timeline": "SELECT CAST(y + 20 AS INT) AS expiry_year, count(*) AS n, round(100.0 * sum(count(*)) OVER (ORDER BY y + 20 ROWS UNBOUNDED PRECEDING) / sum(count(*)) OVER (), 4) AS cumulative_pct FROM records GROUP BY y + 20",
@@ -199,8 +197,8 @@ SELECT id, CASE WHEN status = 'P' THEN 'pending' WHEN y + 20 < 2017 THEN 'expire
 WITH c AS (SELECT publication_number, count(DISTINCT substr(cpc_code, 1, 1)) AS s, count(DISTINCT substr(cpc_code, 1, 4)) AS k, count(DISTINCT cpc_code) AS n FROM patent_cpc WHERE cpc_code IS NOT NULL AND cpc_code <> '' GROUP BY 1)
 SELECT publication_number, CASE WHEN s >= 3 OR k >= 6 OR n >= 10 THEN 'broad' WHEN s >= 2 OR k >= 3 OR n >= 4 THEN 'moderate' ELSE 'narrow' END AS scope FROM c""",
     "fto_firm_share": """
-WITH n AS (SELECT o.firm, count(DISTINCT o.id) AS n FROM owners o JOIN codes c ON o.id = c.id WHERE c.code = 'Brand#33' GROUP BY o.firm)
-SELECT round(0.35 * least(sum(n) / 10000.0, 1.0) + 0.25 * max(n) / CAST(sum(n) AS DOUBLE) + 0.15 * least(count(*) / 30.0, 1.0), 6) AS risk FROM n""",
+WITH n AS (SELECT o.firm, count(DISTINCT o.id) AS n FROM owners o JOIN codes c ON o.id = c.id WHERE c.code = 'Brand#33' GROUP BY o.firm), t AS (SELECT count(*) AS cites FROM cites JOIN codes c ON cites.cited = c.id WHERE c.code = 'Brand#33')
+SELECT round(0.35 * least(sum(n) / 10000.0, 1.0) + 0.25 * max(n) / CAST(sum(n) AS DOUBLE) + 0.25 * least(max(cites) / 500.0, 1.0) + 0.15 * least(count(*) / 30.0, 1.0), 6) AS risk FROM n CROSS JOIN t""",
     "category_rule_confidence": """
 WITH hits AS (SELECT doc_id, CASE WHEN lower(text) LIKE '%antenna%' THEN 1 ELSE 0 END AS kw, CASE WHEN source LIKE 'claims%' THEN 1 ELSE 0 END AS cls FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN kw = 1 AND cls = 1 THEN 0.95 WHEN cls = 1 THEN 0.9 ELSE 0.6 END AS confidence FROM hits WHERE kw + cls > 0""",
@@ -214,7 +212,6 @@ SELECT firm_id, raw_name AS usual_name, n FROM (SELECT firm_id, raw_name, n, row
     "news_axes_quarter": """
 SELECT user_id, CAST(year(ts) AS INT) AS y, CAST(quarter(ts) AS INT) AS q, count(*) AS mentions, round(avg(value), 6) AS tone, round(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / (10.0 + sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)), 6) AS investment FROM events GROUP BY 1, 2, 3""",
     "group_hierarchy_counts": "SELECT relationship, count(*) AS n, round(avg(ownership_pct), 4) AS mean_pct FROM corporate_hierarchy GROUP BY relationship",
-    "set_except_codes": "SELECT code FROM codes JOIN owners USING (id) WHERE firm = 1 EXCEPT SELECT code FROM codes JOIN owners USING (id) WHERE firm = 2 AND section = 'STANDARD'",
 }
 
 QUERIES, SQL = declare(BODIES)

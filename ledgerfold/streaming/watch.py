@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerfold.session import scratch_path
+from ledgerfold.session import materialize, scratch_path
+
+ALERTS = "alert string, watch string, until bigint, n bigint, acknowledged boolean"
 
 
 def available(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -32,6 +34,45 @@ def run_watches(stream: DataFrame, watches: DataFrame, key: str, label: str, thr
     return spark.read.schema("watch string, batch bigint, n bigint").parquet(f"{out}/batch=*")
 
 
+def match_watches(rows: DataFrame, watches: DataFrame, applicant: str, code: str, text: str, owner: str) -> DataFrame:
+    """(watch, least, id) of rows that watches(watch, kind, value, least) match.
+
+    Kinds: `applicant` and `keyword` by a substring whatever the case, `class` by a prefix, `competitor` by the owner's id or else
+    by the name. Watches are user-made rules, few beside the rows; the planner broadcasts them if they are small.
+    """
+    w = watches.select("watch", "kind", F.lower("value").alias("value"), "least")
+    hit = (
+        ((F.col("kind") == "applicant") & F.contains(F.lower(F.coalesce(F.col(applicant), F.lit(""))), F.col("value")))
+        | ((F.col("kind") == "class") & F.startswith(F.lower(F.coalesce(F.col(code), F.lit(""))), F.col("value")))
+        | ((F.col("kind") == "keyword") & F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), F.col("value")))
+        | ((F.col("kind") == "competitor") & ((F.lower(F.coalesce(F.col(owner), F.lit(""))) == F.col("value")) | F.contains(F.lower(F.coalesce(F.col(applicant), F.lit(""))), F.col("value"))))
+    )
+    return rows.join(w, hit).select("watch", "least", "id", "at")
+
+
+def poll(rows: DataFrame, watches: DataFrame, alerts: DataFrame, until: int, applicant: str, code: str, text: str, owner: str) -> tuple[DataFrame, DataFrame]:
+    """(watches, alerts) after one poll of the rows(id, at, ...) between each watch's last_checked and *until*.
+
+    A watch whose new rows reach its threshold gives an alert with an id made of the watch and the time, so a repeated poll adds
+    none; last_checked always advances.
+    """
+    found = match_watches(rows.where(F.col("at") <= until), watches, applicant, code, text, owner)
+    new = found.join(watches.select("watch", "last_checked"), "watch").where("last_checked IS NULL OR at > last_checked")
+    counts = new.groupBy("watch", "least").agg(F.count_distinct("id").alias("n")).where("n >= least")
+    raised = counts.select(F.substring(F.sha2(F.concat_ws(":", "watch", F.lit(str(until))), 256), 1, 16).alias("alert"), "watch", F.lit(until).cast("bigint").alias("until"), "n", F.lit(False).alias("acknowledged"))
+    alerts = materialize(alerts.unionByName(raised.join(alerts.select("alert"), "alert", "left_anti")), "alerts")
+    return materialize(watches.withColumn("last_checked", F.greatest(F.coalesce("last_checked", F.lit(until)), F.lit(until)).cast("bigint")), "watches"), alerts
+
+
+def acknowledge(alerts: DataFrame, ids: list[str]) -> DataFrame:
+    return alerts.withColumn("acknowledged", F.col("acknowledged") | F.col("alert").isin(ids))
+
+
+def delete_watch(watches: DataFrame, alerts: DataFrame, watch: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables without a watch: its alerts go with it."""
+    return watches.where(F.col("watch") != watch), alerts.where(F.col("watch") != watch)
+
+
 def windowed_counts(stream: DataFrame, time: str, key: str, size: str, late: str) -> DataFrame:
     """(start, key, n) of tumbling windows under a watermark; all windows that the watermark has closed."""
     spark = stream.sparkSession
