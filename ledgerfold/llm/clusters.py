@@ -1,66 +1,53 @@
-"""Connected components and average-linkage clusters of sparse similarity graphs.
+"""Average-linkage clusters of sparse similarity graphs.
 
-Components: large-star / small-star rounds on (node, smaller label) rows, so no node's neighbours are ever gathered in one
-task beyond a minimum. Average linkage: within a component of up to *limit* nodes in one task; larger components by
-rounds of merging mutual best pairs of clusters over the whole cluster (average linkage is reducible, so both give the
+Within a component of up to *limit* nodes the merges are made in one task; in larger components by rounds of merging mutual best pairs of clusters over the whole cluster (average linkage is reducible, so both give the
 merges of the sequential algorithm). A pair without an edge has similarity 0. Nodes weigh as many as the rows they stand for.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.operators.graph import components
 from ledgerfold.session import materialize
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of edges(a, b); the component is its smallest node."""
-    links = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    before = None
-    for turn in range(60):
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        links = materialize(small, f"cc-{turn}")
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    tops = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
-
-
 def linkage(n: int, weight: np.ndarray, ia: np.ndarray, ib: np.ndarray, sim: np.ndarray, cut: float) -> np.ndarray:
     """Average linkage of n nodes: the label (smallest position) of every node. Ties: the pair of smaller positions."""
     total: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, s in zip(ia, ib, sim):
+    for a, b, s in zip(ia.tolist(), ib.tolist(), sim.tolist()):
         v = max(total[a].get(b, 0.0), s * weight[a] * weight[b])
         total[a][b] = total[b][a] = v
-    label, size = np.arange(n), weight.astype(float).copy()
-    alive = set(range(n))
-    while True:
-        best = None
-        for a in alive:
-            for b, s in total[a].items():
-                if a < b and (key := (s / (size[a] * size[b]), -a, -b)) and (best is None or key > best):
-                    best = key
-        if best is None or best[0] < cut:
-            return label
-        a, b = -best[1], -best[2]
+    size = weight.astype(float).tolist()
+    members = [[i] for i in range(n)]
+    heap = [(-s / (size[a] * size[b]), a, b) for a in range(n) for b, s in total[a].items() if a < b]
+    heapq.heapify(heap)
+    while heap:
+        value, a, b = heapq.heappop(heap)
+        if -value < cut:
+            break
+        if b not in total[a] or -value != total[a][b] / (size[a] * size[b]):  # merged or weighed anew since
+            continue
+        size[a] += size[b]
+        del total[a][b]
         for c, s in total[b].items():
             if c != a:
                 total[a][c] = total[c][a] = total[a].get(c, 0.0) + s
                 del total[c][b]
-        total[a].pop(b)
         total[b] = {}
-        alive.discard(b)
-        size[a] += size[b]
-        label[label == b] = a
+        members[a] += members[b]
+        members[b] = []
+        for c, s in total[a].items():
+            heapq.heappush(heap, (-s / (size[a] * size[c]), min(a, c), max(a, c)))
+    label = np.arange(n)
+    for a, own in enumerate(members):
+        label[own] = a
+    return label
 
 
 def _local(cut: float):
@@ -99,7 +86,7 @@ def average_linkage(edges: DataFrame, cut: float, limit: int = 2000) -> DataFram
     """(node, cluster) for the nodes of edges(a, b, sim, wa, wb); the cluster is its smallest node."""
     e = edges.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "sim", F.when(F.col("a") < F.col("b"), F.col("wa")).otherwise(F.col("wb")).alias("wx"), F.when(F.col("a") < F.col("b"), F.col("wb")).otherwise(F.col("wa")).alias("wy"))
     e = materialize(e.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.max("sim").alias("sim"), F.max("wx").cast("double").alias("wa"), F.max("wy").cast("double").alias("wb")), "linkage-edges")
-    comp = materialize(components(e), "linkage-components")
+    comp = materialize(components(e.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "linkage-components")
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     placed = e.join(comp.withColumnRenamed("node", "a"), "a").join(size, "component")
     small = placed.where(F.col("n") <= limit).groupBy("component").applyInPandas(_local(cut), "node string, cluster string")

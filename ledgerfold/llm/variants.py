@@ -1,11 +1,11 @@
 """Variant spellings of names typed by people.
 
-Method: every distinct name is parsed to a form; forms are weighted character n-gram vectors (tf-idf over all forms); a
-distributed sparse join finds all pairs of forms of at least *threshold* cosine (all partners, not only the top n; forms
-meet on pairs of n-grams, under a bound that loses none), and forms whose roots are within the edit rule meet besides,
-whatever their cosine; an exact check of the parts (edit distance of the
-root, line of business, given name and initials, letters of an acronym with the firm most of its rows bear) confirms
-pairs; average-linkage clustering, weighted by rows, groups the forms, and with them the spellings.
+Method: what the names tell about their own words (see names.py) brings every name to a root, telling words and letters;
+names that come out alike are one item of the join. Items are weighted vectors of character n-grams of the root, of the
+telling words, and of the firm id most of their rows bear together with the first consonants; n-grams weigh tf-idf over all
+items. A distributed sparse join finds all pairs of at least *threshold* cosine (all partners, not only the top n; items
+meet on pairs of n-grams, under a bound that loses none); an exact check drops pairs that contradict each other;
+average-linkage clustering on the cosines, weighted by rows, groups what is left. A pair below the threshold is no pair.
 
 Defined results: null names and placeholders mean nobody; repeated rows only add weight; an empty table gives an empty
 result; other columns are ignored. Very long names are compared whole.
@@ -20,70 +20,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm.clusters import average_linkage
-from ledgerfold.llm.names import GIVEN, canonical, edits, letters, parse
+from ledgerfold.llm.names import Lexicon, Name, initials, learn, parse, same_name
 from ledgerfold.session import materialize
 
-THRESHOLD, CUT, GRAM = 0.35, 0.2, 3
-_FORM = "form string, kind string, root string, line string, middle string, initial string, acronym string"
+THRESHOLD, CUT, GRAM = 0.25, 0.12, 3
+#: How much a telling word and a firm id weigh beside an n-gram of the root, and n-grams of a name of a few letters.
+TELL_WEIGHT, FIRM_WEIGHT, SHORT_WEIGHT = 2.0, 2.0, 0.5
+_PARTS = "form string, root string, tells string, letters string, short boolean"
 
 
-def with_parts(names: DataFrame, name: str, other: str | None = None, persons: bool = True) -> DataFrame:
-    """The rows with the parts of their name; *other* (a second, tidied spelling) may tell a given name."""
+def with_parts(names: DataFrame, lexicon: Lexicon, name: str, tidied: str | None = None) -> DataFrame:
+    """The rows with the parts of their name."""
     keep = names.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names.schema) + ", " + _FORM
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names.schema) + ", " + _PARTS
+    first = initials(lexicon)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for i, raw in enumerate(f[name]):
-                n = parse(raw, persons)
-                if other and n.kind == "person" and not n.line and f[other].iloc[i]:
-                    told = parse(f[other].iloc[i])
-                    if told.kind == "person" and told.line and edits(told.root, n.root, 2) <= 2 and initial_fits(n.initial, told.line):
-                        n = n._replace(line=told.line)
-                rows.append((canonical(n), *n))
-            parts = pd.DataFrame(rows, columns=["form", "kind", "root", "line", "middle", "initial", "acronym"], index=f.index)
+            parsed = [parse(x, y, lexicon, first) for x, y in zip(f[name], f[tidied] if tidied else [None] * len(f))]
+            parts = pd.DataFrame([(n.form, *n) for n in parsed], columns=["form", "root", "tells", "letters", "short"], index=f.index)
             yield pd.concat([f[keep], parts], axis=1)
 
     return names.mapInPandas(run, schema)
 
 
-def initial_fits(initial: str, given: str) -> bool:
-    return bool(initial) and initial in {given[:1], *(s[:1] for s in GIVEN.get(given, []))}
+def grams(root: str, tells: str, letters: str, short: bool, firm: str | None = None) -> list[tuple[str, float]]:
+    """Features of a name and how much they weigh before idf."""
+    padded, out = f"^{root}$", {}
+    for i in range(max(1, len(padded) - GRAM + 1)):
+        g = padded[i : i + GRAM]
+        out[g] = out.get(g, 0.0) + (SHORT_WEIGHT if short else 1.0)
+    for t in tells.split():
+        out[f"t:{t}"] = TELL_WEIGHT
+    for c in letters[:1]:
+        out[f"l:{c}"] = 1.0
+    if firm:
+        out[f"f:{firm}|{''.join(c for c in root if c not in 'aeiou')[:3]}"] = FIRM_WEIGHT
+    return list(out.items())
 
 
-def _grams(f: pd.DataFrame) -> list[list[tuple[str, float]]]:
-    out = []
-    for kind, root, line, acronym in zip(f["kind"], f["root"], f["line"], f["acronym"]):
-        padded = f"^{root}$"
-        grams: dict[str, float] = {}
-        if not acronym:
-            for i in range(max(1, len(padded) - GRAM + 1)):
-                g = f"{kind[0]}{padded[i : i + GRAM]}"
-                grams[g] = grams.get(g, 0.0) + 1.0
-            if line:
-                grams[f"L{line}"] = 1.0
-        out.append(list(grams.items()))
-    return out
-
-
-def _letters(f: pd.DataFrame) -> list[list[tuple[str, float]]]:
-    """The letters an organisation may be called by, as a vector of its own."""
-    return [[(a, 1.0)] if a else [(x, 1.0) for x in letters(root, line)] if kind == "org" and line else [] for kind, root, line, a in zip(f["kind"], f["root"], f["line"], f["acronym"])]
-
-
-def vectors(forms: DataFrame, features=_grams) -> DataFrame:
+def vectors(forms: DataFrame) -> DataFrame:
     """(form, gram, df, w): unit tf-idf vectors over all forms."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            lists = features(f)
+            lists = [grams(*x) for x in zip(f["root"], f["tells"], f["letters"], f["short"], f["firm"])]
             yield pd.DataFrame([(form, g, c) for form, gs in zip(f["form"], lists) for g, c in gs], columns=["form", "gram", "c"])
 
-    grams = materialize(forms.select("form", "kind", "root", "line", "acronym").mapInPandas(run, "form string, gram string, c double"), "variant-grams")
+    every = materialize(forms.select("form", "root", "tells", "letters", "short", "firm").mapInPandas(run, "form string, gram string, c double"), "variant-grams")
     n = forms.count()
-    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    weighted = grams.join(df, "gram").select("form", "gram", "df", (F.col("c") * F.log(1 + F.lit(float(n)) / F.col("df"))).alias("w"))
+    df = every.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    weighted = every.join(df, "gram").select("form", "gram", "df", (F.col("c") * F.log(1 + F.lit(float(n)) / F.col("df"))).alias("w"))
     norm = weighted.groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norm, "form").select("form", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
 
@@ -119,128 +106,48 @@ def cosine_pairs(vec: DataFrame, threshold: float, long: int = 64) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dot.alias("cosine")).where(F.col("cosine") >= t)
 
 
-def _apart(root: str) -> int:
-    return 2 if len(root) >= 7 else 1
-
-
-def meeting_keys(root: str, long: int = 26) -> set[str]:
-    """Strings of which two roots within the edit rule of same_name share at least one.
-
-    An edit (also a swap) is one letter less on either side, so two roots of edit distance 2 share what is left after two
-    deletions each. Roots of nearly *long* letters and more are cut into five pieces: two edits touch four of them at most,
-    so one stands unaltered in the other root, at most two places aside and at the cuts of a length at most two apart.
-    """
-    keys: set[str] = set()
-    if len(root) <= long:
-        level = {root}
-        keys |= level
-        for _ in range(_apart(root)):
-            level = {s[:i] + s[i + 1 :] for s in level for i in range(len(s))}
-            keys |= level
-    if len(root) >= long - 1:
-        for n in range(len(root) - 2, len(root) + 3):
-            for k in range(5):
-                low, high = k * n // 5, (k + 1) * n // 5
-                keys |= {f"{n}.{k}.{root[low + s : high + s]}" for s in range(-2, 3) if 0 <= low + s and high + s <= len(root)}
-    return keys
-
-
-def edit_pairs(parts: DataFrame) -> DataFrame:
-    """(a, b) of all forms a < b called by full names whose roots are within the edit rule, whatever their cosine; no pair is lost."""
-    full = parts.where("acronym = ''")
-
-    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for s in range(0, len(f), 500):
-                some = f.iloc[s : s + 500]
-                yield pd.DataFrame([(k, r, m) for k, r in zip(some["kind"], some["root"]) for m in meeting_keys(r)], columns=["kind", "root", "m"])
-
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ok = [edits(x, y, 2) <= min(_apart(x), _apart(y)) for x, y in zip(f["x"], f["y"])]
-            yield f[ok]
-
-    keys = full.select("kind", "root").distinct().mapInPandas(keyed, "kind string, root string, m string").select("kind", "root", F.xxhash64("kind", "m").alias("m"))
-    keys = materialize(keys, "variant-keys")
-    meet = keys.withColumnRenamed("root", "x").join(keys.withColumnRenamed("root", "y"), ["kind", "m"]).where("x < y").select("kind", "x", "y").distinct()
-    roots = meet.mapInPandas(near, "kind string, x string, y string")
-    same = full.select("kind", F.col("root").alias("x"), F.col("root").alias("y")).distinct()
-    one = full.select("kind", F.col("root").alias("x"), F.col("form").alias("p"), F.col("line").alias("p_line"))
-    two = full.select("kind", F.col("root").alias("y"), F.col("form").alias("q"), F.col("line").alias("q_line"))
-    both = roots.unionByName(same).join(one, ["kind", "x"]).join(two, ["kind", "y"]).where("p <> q AND (kind <> 'org' OR p_line = q_line OR p_line = '' OR q_line = '')")
-    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-
-
-def same_name(a, b) -> bool:
-    """Exact check of two parsed names (rows with kind, root, line, middle, initial, acronym, firm)."""
-    if a.kind != b.kind:
-        return False
-    if a.kind == "org":
-        if a.acronym or b.acronym:
-            short, full = (a, b) if a.acronym else (b, a)
-            if full.acronym:
-                return short.acronym == full.acronym and bool(short.firm) and short.firm == full.firm
-            return short.acronym in letters(full.root, full.line) and bool(short.firm) and short.firm == full.firm
-        return (a.line == b.line or not a.line or not b.line) and edits(a.root, b.root, 2) <= (2 if min(len(a.root), len(b.root)) >= 7 else 1)
-    if a.middle and b.middle and a.middle != b.middle:
-        return False
-    if edits(a.root, b.root, 2) > (2 if min(len(a.root), len(b.root)) >= 7 else 1):
-        return False
-    if a.line and b.line:
-        return a.line == b.line or edits(a.line, b.line, 1) <= 1
-    if a.line or b.line:
-        short, full = (a, b) if b.line else (b, a)
-        return initial_fits(short.initial, full.line)
-    return a.initial == b.initial
-
-
-def confirm(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b, cosine) whose parts mean the same name, with what tells short names apart."""
-    cols = ["kind", "root", "line", "middle", "initial", "acronym", "firm", "weight"]
+def confirm(pairs: DataFrame, parts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Candidate pairs (a, b, cosine) whose parts don't contradict, with what tells short names apart."""
+    first = initials(lexicon)
+    cols = ["root", "tells", "letters", "short", "firm", "weight"]
     j = pairs
     for side in "ab":
         j = j.join(parts.select(F.col("form").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols]), side)
 
-    class Row:
-        __slots__ = cols
-
-        def __init__(self, values) -> None:
-            for c, v in zip(cols, values):
-                setattr(self, c, v)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            left = zip(*(f[f"a_{c}"] for c in cols))
-            right = zip(*(f[f"b_{c}"] for c in cols))
-            ok = [same_name(Row(x), Row(y)) for x, y in zip(left, right)]
-            yield f[["a", "b", "cosine", "a_line", "b_line", "a_kind", "a_weight", "b_weight"]][ok]
+            sides = [[Name(*x) for x in zip(*(f[f"{side}_{c}"] for c in cols[:4]))] for side in "ab"]
+            ok = [same_name(x, y, p, q, first) for x, y, p, q in zip(*sides, f["a_firm"], f["b_firm"])]
+            yield f[["a", "b", "cosine", "a_tells", "b_tells", "a_firm", "b_firm", "a_weight", "b_weight"]][ok]
 
-    kept = j.mapInPandas(run, "a string, b string, cosine double, a_line string, b_line string, a_kind string, a_weight double, b_weight double")
+    kept = j.mapInPandas(run, "a string, b string, cosine double, a_tells string, b_tells string, a_firm string, b_firm string, a_weight double, b_weight double")
     return materialize(kept, "variant-confirmed")
 
 
 def drop_ambiguous(pairs: DataFrame) -> DataFrame:
-    """Without the pairs that tie a short name (a mere initial, a mere root) to persons of several given names or firms of several lines."""
-    one = pairs.where("a_line = '' AND b_line <> ''").select(F.col("a").alias("short"), F.col("b_line").alias("given"))
-    two = pairs.where("b_line = '' AND a_line <> ''").select(F.col("b").alias("short"), F.col("a_line").alias("given"))
-    vague = one.unionByName(two).groupBy("short").agg(F.count_distinct("given").alias("n")).where("n > 1").select("short")
-    tied: Column = F.col("a_line") != F.col("b_line")
-    clear = pairs.where(tied).join(vague, F.when(F.col("a_line") == "", F.col("a")).otherwise(F.col("b")) == F.col("short"), "left_anti")
-    return pairs.where(~tied).unionByName(clear)
-
-
-def link_forms(parts: DataFrame, threshold: float = THRESHOLD, cut: float = CUT) -> DataFrame:
-    """(node, cluster) of the forms in parts(form, kind, root, line, middle, initial, acronym, firm, weight)."""
-    by_letters = vectors(parts, _letters)
-    called = by_letters.join(parts.where("acronym <> ''").select(F.col("acronym").alias("gram")).distinct(), "gram", "left_semi").select("form", "gram", "df", "w")
-    pairs = cosine_pairs(vectors(parts), threshold).unionByName(cosine_pairs(called, 0.4))
-    # the cosine of a pair within the edit rule sinks as tables grow: those meet whatever it is
-    pairs = pairs.unionByName(edit_pairs(parts).withColumn("cosine", F.lit(0.0))).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    pairs = confirm(pairs, parts)
-    edges = drop_ambiguous(pairs).select("a", "b", F.lit(1.0).alias("sim"), F.col("a_weight").alias("wa"), F.col("b_weight").alias("wb"))
+    """Without the pairs that tie a name without telling words to several names that differ in them, but for those of its own firm."""
+    tied: Column = (F.col("a_tells") == "") != (F.col("b_tells") == "")
+    same_firm = F.coalesce(F.col("a_firm") == F.col("b_firm"), F.lit(False))
+    side = F.when(F.col("a_tells") == "", F.col("a")).otherwise(F.col("b"))
+    told = pairs.where(tied).select(side.alias("bare"), F.concat("a_tells", "b_tells").alias("told"), same_firm.alias("own"))
+    vague = told.groupBy("bare").agg(F.count_distinct("told").alias("n"), F.max("own").alias("has_own")).where("n > 1")
+    judged = pairs.where(tied).withColumn("own", same_firm).withColumn("bare", side).join(vague, "bare", "left")
+    return pairs.where(~tied).unionByName(judged.where("n IS NULL OR (has_own AND own)").select(*pairs.columns))
+
+
+def link_forms(parts: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, cut: float = CUT) -> DataFrame:
+    """(node, cluster) of the forms in parts(form, root, tells, letters, short, firm, weight)."""
+    pairs = confirm(cosine_pairs(vectors(parts), threshold), parts, lexicon)
+    edges = drop_ambiguous(pairs).select("a", "b", F.col("cosine").alias("sim"), F.col("a_weight").alias("wa"), F.col("b_weight").alias("wb"))
     return average_linkage(edges, cut)
 
 
+def forms_of(named: DataFrame) -> DataFrame:
+    """One row a form of named(form, parts, n, firm): its rows, and the firm most of them bear."""
+    firms = named.where("firm IS NOT NULL").groupBy("form", "firm").agg(F.sum("n").alias("k")).groupBy("form").agg(F.max(F.struct("k", "firm"))["firm"].alias("firm"))
+    return named.groupBy("form").agg(*[F.first(c).alias(c) for c in ("root", "tells", "letters", "short")], F.sum("n").cast("double").alias("weight")).join(firms, "form", "left")
+
+
 def name_clusters(rows: DataFrame, name: str, tidied: str, firm: str) -> DataFrame:
     """(name, cluster) of every distinct name that means somebody."""
     r = rows.select(F.col(name).alias("name"), F.col(tidied).alias("tidied"), F.col(firm).alias("firm")).where("name IS NOT NULL")
@@ -250,14 +157,10 @@ def name_clusters(rows: DataFrame, name: str, tidied: str, firm: str) -> DataFra
         F.max(F.when(F.col("firm").isNotNull(), F.struct("n", "firm")))["firm"].alias("firm"),
         F.max("tidied").alias("tidied"),
     )
-    named = materialize(with_parts(names, "name", "tidied").where("kind <> 'none'"), "variant-names")
-    forms = named.groupBy("form").agg(
-        *[F.first(c).alias(c) for c in ("kind", "root", "line", "middle", "initial", "acronym")],
-        F.sum("n").alias("weight"),
-        F.max(F.when(F.col("firm").isNotNull(), F.struct("n", "firm")))["firm"].alias("firm"),
-    )
-    forms = materialize(forms, "variant-forms")
-    clusters = link_forms(forms)
+    names = materialize(names, "variant-names")
+    lexicon = learn(names)
+    named = materialize(with_parts(names, lexicon, "name", "tidied").where("form <> ''"), "variant-parts")
+    clusters = link_forms(materialize(forms_of(named), "variant-forms"), lexicon)
     return named.join(clusters, named["form"] == clusters["node"], "left").select("name", F.coalesce("cluster", "form").alias("cluster"))
 
 
