@@ -1,12 +1,14 @@
 """Average-linkage clusters of sparse similarity graphs.
 
-Within a component of up to *limit* nodes the merges are made in one task; in larger components by rounds of merging mutual best pairs of clusters over the whole cluster (average linkage is reducible, so both give the
-merges of the sequential algorithm). A pair without an edge has similarity 0. Nodes weigh as many as the rows they stand for.
+Components of up to *limit* nodes are merged within a task, many at once; larger ones by rounds of merging mutual best pairs
+of clusters over the whole cluster (average linkage is reducible, so both give the merges of the sequential algorithm). A
+pair without an edge has similarity 0. Nodes weigh as many as the rows they stand for.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from ledgerfold.operators.graph import components
 from ledgerfold.session import materialize
 
+EDGES_PER_TASK = 20_000
+
 
 def linkage(n: int, weight: np.ndarray, ia: np.ndarray, ib: np.ndarray, sim: np.ndarray, cut: float) -> np.ndarray:
     """Average linkage of n nodes: the label (smallest position) of every node. Ties: the pair of smaller positions."""
@@ -51,14 +55,18 @@ def linkage(n: int, weight: np.ndarray, ia: np.ndarray, ib: np.ndarray, sim: np.
 
 
 def _local(cut: float):
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.r_[f["a"].to_numpy(object), f["b"].to_numpy(object)].astype(object))
-        at = {x: i for i, x in enumerate(names)}
-        ia, ib = f["a"].map(at).to_numpy(), f["b"].map(at).to_numpy()
+    """The clusters of all components of a task at once: components share no edge, so each merges as if it were alone."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [f for f in frames if len(f)]
+        if not parts:
+            return
+        f = pd.concat(parts, ignore_index=True)
+        names, at = np.unique(np.r_[f["a"].to_numpy(object), f["b"].to_numpy(object)].astype(object), return_inverse=True)
+        ia, ib = at[: len(f)], at[len(f) :]
         weight = np.ones(len(names))
         weight[ia], weight[ib] = f["wa"].to_numpy(), f["wb"].to_numpy()
-        label = linkage(len(names), weight, ia, ib, f["sim"].to_numpy(), cut)
-        return pd.DataFrame({"node": names, "cluster": names[label]})
+        yield pd.DataFrame({"node": names, "cluster": names[linkage(len(names), weight, ia, ib, f["sim"].to_numpy(), cut)]})
 
     return run
 
@@ -89,6 +97,7 @@ def average_linkage(edges: DataFrame, cut: float, limit: int = 2000) -> DataFram
     comp = materialize(components(e.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "linkage-components")
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     placed = e.join(comp.withColumnRenamed("node", "a"), "a").join(size, "component")
-    small = placed.where(F.col("n") <= limit).groupBy("component").applyInPandas(_local(cut), "node string, cluster string")
+    tasks = max(1, -(-e.count() // EDGES_PER_TASK))
+    small = placed.where(F.col("n") <= limit).select("component", "a", "b", "sim", "wa", "wb").repartition(tasks, "component").mapInPandas(_local(cut), "node string, cluster string")
     large = materialize(placed.where(F.col("n") > limit).drop("component", "n"), "linkage-large")
     return small if large.isEmpty() else small.unionByName(_mutual(large, cut))

@@ -1,6 +1,7 @@
 """Most similar vectors for every vector: a hierarchical k-means tree searched best bin first.
 
-Method: a k-means tree is fitted on a bounded sample (`sample` vectors by hash of the key, default 20,000). Every vector
+Method: a k-means tree is fitted on a bounded sample (`sample` vectors by hash of the key; by default eight a leaf, at least
+20,000 and at most 200,000, so that leaves keep their size up to ten million vectors). Every vector
 goes to its leaf; the index is a table in the shared folder, sorted by leaf, leaves numbered along the tree, with row-group
 statistics. A query pops tree nodes from a priority queue by cosine to their centres and visits leaves in that order. How
 many leaves are visited is calibrated: for `calibration` sample vectors the true neighbours (by a scan of all rows) are
@@ -8,7 +9,7 @@ looked up in the order of visits, and visits are widened until the wanted recall
 neighbours at least that close. Candidates are found in single and ranked in double precision.
 
 Copies: of vectors of one direction only the few smallest keys that can be anyone's neighbour are indexed, chosen before
-the shuffle; the other copies are light rows that take their neighbours from those.
+the shuffle; the other copies are light rows that take their neighbours from those, and those of a copy of their own group.
 
 Cosines are rounded to 9 decimals, ties go to the smaller key. Defined results: vectors null, of other length, with NaN or
 infinite numbers, or all zero don't count; null keys don't count; a repeated row counts once; rows of one group are no
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.llm.topn import list_files, open_file
-from ledgerfold.session import scratch_path
+from ledgerfold.session import materialize, scratch_path
 
-SAMPLE, CALIBRATION, LEAF, BRANCH = 20_000, 1024, 384, 24
-ROW_GROUP = 1 << 20
+SAMPLE, MAX_SAMPLE, CALIBRATION, LEAF, BRANCH = 20_000, 200_000, 1024, 384, 24
+ROW_GROUP, MOST_GROUPS = 1 << 20, 200_000  # row groups grow where there would be more of them
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -261,6 +262,16 @@ class _Best:
 _FOUND = "key string, grp string, neighbour string, cosine double, leaf bigint"
 
 
+def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Row groups of files with their least and greatest leaf."""
+    for f in frames:
+        for name in f["name"]:
+            meta = open_file(name).metadata
+            at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+            stats = [{c: meta.row_group(i).column(at[c]).statistics for c in ("leaf", "light")} for i in range(meta.num_row_groups)]
+            yield pd.DataFrame([(name, i, s["leaf"].min, s["leaf"].max, bool(s["light"].max)) for i, s in enumerate(stats)], columns=["name", "i", "low", "high", "light"])
+
+
 def _search(tree: Tree, groups: list, dim: int, k: int, visits: int, floor: float, every: int):
     """The neighbours of the rows of some row groups, found by the tree; of keys that hash to 0 modulo *every*.
 
@@ -315,7 +326,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest(rows: DataFrame, key: str, group: str, vector: str, k: int, min_cosine: float = -1.0, recall: float = 0.98, dim: int = 64, sample: int = SAMPLE, calibration: int = CALIBRATION, leaf: int = LEAF, every: int = 1) -> DataFrame:
+def nearest(rows: DataFrame, key: str, group: str, vector: str, k: int, min_cosine: float = -1.0, recall: float = 0.98, dim: int = 64, sample: int | None = None, calibration: int = CALIBRATION, leaf: int = LEAF, every: int = 1) -> DataFrame:
     """(key, neighbour, cosine, rank) of up to k neighbours of at least *min_cosine*.
 
     *key* and *group* are SQL expressions; with *every* = m only keys that hash to 0 modulo m are queries, against all rows.
@@ -324,6 +335,7 @@ def nearest(rows: DataFrame, key: str, group: str, vector: str, k: int, min_cosi
     spark = rows.sparkSession
     valid = valid_vectors(rows, key, group, vector, dim)
     n = rows.count()
+    sample = sample or min(MAX_SAMPLE, max(SAMPLE, 8 * n // leaf))
     share = min(1.0, 2.0 * sample / max(1, n))  # so many rows at most come to the driver, however many there are
     drawn = valid.withColumn("h", F.xxhash64("key")).where(F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30)))
     fit = drawn.orderBy("h", "key").limit(sample).toPandas()
@@ -339,16 +351,16 @@ def nearest(rows: DataFrame, key: str, group: str, vector: str, k: int, min_cosi
     path = scratch_path(spark, "knn")
     placed = valid.mapInArrow(_assign(tree, parts.astype(np.int64), dim, k), _PLACED)
     spread = F.when(F.col("light"), F.pmod(F.xxhash64("key"), F.lit(files)).cast("int")).otherwise(F.col("part"))
-    placed.repartitionById(files, spread).sortWithinPartitions("leaf", "key").write.option("parquet.block.size", str(ROW_GROUP)).option("compression", "zstd").parquet(path)
+    placed.repartitionById(files, spread).sortWithinPartitions("leaf", "key").write.option("parquet.block.size", str(max(ROW_GROUP, n * dim * 8 // MOST_GROUPS))).option("compression", "zstd").parquet(path)
     groups, ends, light = [], [0], False
-    for name in list_files(spark, path):
-        meta = open_file(name).metadata
-        at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
-        for i in range(meta.num_row_groups):
-            stats = {c: meta.row_group(i).column(at[c]).statistics for c in ("leaf", "light")}
-            groups.append((name, i, stats["leaf"].min, stats["leaf"].max))
-            light |= bool(stats["light"].max)
-        ends.append(len(groups))
+    names = list_files(spark, path)
+    footers = spark.createDataFrame([(f,) for f in names], "name string").repartition(max(1, len(names))).mapInPandas(_footers, "name string, i int, low bigint, high bigint, light boolean")
+    for r in sorted(footers.collect()):  # one row a row group
+        if groups and groups[-1][0] != r["name"]:
+            ends.append(len(groups))
+        groups.append((r["name"], r["i"], r["low"], r["high"]))
+        light |= r["light"]
+    ends.append(len(groups))
     spans = [(a, b) for a, b in zip(ends, ends[1:]) if b > a]
     if not spans:
         return spark.createDataFrame([], "key string, neighbour string, cosine double, rank int")
@@ -376,6 +388,10 @@ def nearest(rows: DataFrame, key: str, group: str, vector: str, k: int, min_cosi
             return pd.DataFrame({"direction": f["direction"].iloc[at], "neighbour": f["key"].iloc[at], "of": f["grp"].iloc[at]})
 
         kept = kept.groupBy("direction").applyInPandas(closure, "direction bigint, neighbour string, of string")
+        found = materialize(found, "knn-found")
+        twin = whole.where("NOT light").groupBy("direction", "grp").agg(F.min("key").alias("twin"))
+        same = few.join(twin, ["direction", "grp"]).join(found.select(F.col("key").alias("twin"), "neighbour", "cosine", "leaf"), "twin").where("key <> neighbour")
+        found = found.unionByName(same.select("key", "grp", "neighbour", "cosine", "leaf"))
         copies = few.join(kept, "direction").where("grp <> of AND key <> neighbour")
         found = found.unionByName(copies.select("key", "grp", "neighbour", F.lit(1.0).alias("cosine"), F.lit(0).cast("bigint").alias("leaf")))
     out = _top(found, k).select("key", "neighbour", "cosine", "rank")

@@ -3,11 +3,12 @@
 Method: the test items are a BM25 inverted index with block maxima; impacts are divided by the item's own score, so a score
 is the share of an item that a passage covers.
 Every document is read whole: the items that all its terms together cover to the threshold are the only ones that a passage
-can; every passage is a query for them, answered by block-max WAND with the essential terms (without which no item can reach
-the threshold) as pivots, and all items above the threshold are retrieved. A retrieved item is verified by aligning its words
+can; every passage is a query for them. As in block-max WAND, essential terms (without which no item can reach the threshold)
+are the pivots and blocks are left out by the sum of their maxima; there are no cursors over postings, since all of a
+passage's terms are at hand and every item above the threshold is wanted, not the best few. A retrieved item is verified by aligning its words
 with the passage in order: at least half of them must be there, and of the names and figures in the part covered most.
 
-The index holds the test items only (a held-out set; its size is checked against `max_items`), and goes to every task.
+The index holds the test items only (a held-out set), at most about `max_items` at once, and goes to every task.
 
 Defined results: null and empty texts hold nothing; repeated documents and items are compared once a (doc_id, item_id);
 items without words are never found; very long texts are read whole; other columns are ignored.
@@ -217,18 +218,28 @@ def leaks(index: ItemIndex, text: str, window: int = WINDOW) -> list[int]:
 
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, threshold: float = THRESHOLD, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(doc_id, item_id) of every document and test item it holds."""
-    rows = items.select(F.col(item_id).cast("bigint"), F.col(item_text)).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} test items: split them into sets and search with each")
-    index = ItemIndex([(r[0], r[1]) for r in rows], threshold)
-    ship = docs.sparkSession.sparkContext.broadcast(index)
+    """(doc_id, item_id) of every document and test item it holds.
 
+    More than *max_items* items are taken in sets of about that size by hash, each with an index and a scan of its own; what
+    counts as a name is then judged within a set.
+    """
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    known = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
+    sets = max(1, -(-known.count() // max_items))
+    found = None
+    for k in range(sets):
+        rows = known.where(F.pmod(F.xxhash64("i"), F.lit(sets)) == k).collect()
+        index = ItemIndex([(r[0], r[1]) for r in rows], threshold)
+        one = source.mapInPandas(_searched(docs.sparkSession.sparkContext.broadcast(index)), "doc_id bigint, item_id bigint")
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
+
+
+def _searched(ship):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = ship.value
         for f in frames:
             out = [(d, ix.ids[i]) for d, t in zip(f["doc_id"], f["text"]) for i in leaks(ix, t)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return source.mapInPandas(run, "doc_id bigint, item_id bigint").distinct()
+    return run

@@ -46,8 +46,8 @@ _INNER = re.compile(r"^\s*([\w&.]{2,8})\s*\((.{5,})\)(.*)$")
 #: (and so many for each of its names).
 COMMON_NAMES, COMMON_SHARE, BESIDE, BESIDE_SHARE = 12, 0.002, 3, 0.1
 LONG_NAME = 12  # in names of more words only neighbours stand beside each other
-#: Share of a word's tidied rows that must agree on what it means; names of one root that must share a telling word.
-AGREE, CONSTANT, LEAST = 0.3, 0.58, 2
+#: Share of a word's tidied rows that must agree on what it means, and how much oftener than of any word; names of one root that must share a telling word.
+AGREE, LIFT, CONSTANT, LEAST = 0.3, 2.5, 0.58, 2
 #: Words learnt are at least this share of all names each, so that their table is bounded.
 LEAST_SHARE = 1 / 100_000
 _SUFFIX = "~"
@@ -292,7 +292,11 @@ def learn(names: DataFrame) -> Lexicon:
     # what a word means: the other common word that most tidied spellings have in its place
     opened = counts.where("what = 'open'").select("word", F.col("n").alias("n_open"))
     means = counts.where("what = 'means'").select("word", F.col("other").alias("v"), F.col("n").alias("c")).where(F.col("c") >= least)
-    means = means.join(common.select(F.col("word").alias("v")), "v").join(opened, "word").where(F.col("c") >= AGREE * F.col("n_open"))
+    # a legal form stands in the place of any word by chance: what it means must be told far oftener than of other words
+    usual = counts.where("what = 'means'").groupBy(F.col("other").alias("v")).agg(F.sum("n").alias("usual"))
+    every = opened.agg(F.sum("n_open").alias("every"))  # one row
+    means = means.join(common.select(F.col("word").alias("v")), "v").join(opened, "word").join(usual, "v").join(F.broadcast(every))
+    means = means.where((F.col("c") >= AGREE * F.col("n_open")) & (F.col("c") * F.col("every") >= LIFT * F.col("usual") * F.col("n_open")))
     means = means.join(common.withColumn("known", F.lit(True)), "word", "left").where("known OR word RLIKE '^[^ -}]'")
     told = means.select("word", "v", "c").toPandas()  # at most some 1 / LEAST_SHARE rows
     return _decide(told, [r[0] for r in common.collect()], names)

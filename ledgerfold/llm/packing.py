@@ -4,7 +4,8 @@ Method: texts are measured in tokens of a public tokenizer; one longer than the
 rest, no other is split. Containers are filled in parallel, every task for a hash share of the items: greedily with the
 longest item that fits, then the smallest item of the container is replaced by two unpacked ones that together fit the
 gap so widened more tightly, if there are such. Tasks close the containers that are full enough; the items of the others
-go to the next round, with a quarter as many tasks, until one task packs the rest.
+are shuffled anew and packed in the next round, until one task holds the rest or a round leaves nearly as much as it got;
+then every task closes what it has. A task never gets more than about *items_per_task* items.
 
 Work in a task is on counts by length, so its memory is bounded by the capacity and by the ids of its own items.
 
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 
 from ledgerfold.session import materialize
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # unless the session names another in ledgerfold.tokenizer
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 FULL = 0.995
-ITEMS_PER_TASK = 50_000
+ITEMS_PER_TASK, LEVELS = 50_000, 6
 
 
 @lru_cache(maxsize=2)
@@ -132,13 +133,13 @@ def pack(items: DataFrame, capacity: int, full: float = FULL, items_per_task: in
     sizes = F.concat(F.when(n > 0, F.array_repeat(F.lit(capacity).cast("bigint"), n)).otherwise(F.array().cast("array<bigint>")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     pieces = materialize(items.where("tokens > 0").select("item", F.posexplode(sizes).alias("piece", "tokens")), "pack-items")
     whole = pieces.where(F.col("tokens") == capacity).select(F.concat(F.lit("w-"), F.monotonically_increasing_id().cast("string")).alias("container"), "item", "piece", "tokens")
-    open_, done, level = pieces.where(F.col("tokens") < capacity), [whole], 0
+    open_, done, level, before = pieces.where(F.col("tokens") < capacity), [whole], 0, None
     while True:
         left = open_.count()
         if not left:
             break
         tasks = max(1, -(-left // items_per_task))
-        last = tasks == 1
+        last = tasks == 1 or level >= LEVELS or (before is not None and left > 0.9 * before)  # then every task closes all it has
         share = F.pmod(F.xxhash64("item", "piece", F.lit(level)), F.lit(tasks)).cast("int")
         placed = open_.withColumn("share", share).repartition(tasks, "share")
         packed = placed.groupBy("share").applyInPandas(_grouped(_pack_task(capacity, 0 if last else int(full * capacity), f"r{level}")), "container string, item bigint, piece int, tokens bigint")
@@ -146,7 +147,7 @@ def pack(items: DataFrame, capacity: int, full: float = FULL, items_per_task: in
         done.append(packed.where("container IS NOT NULL"))
         if last:
             break
-        open_, level, items_per_task = packed.where("container IS NULL").drop("container"), level + 1, items_per_task * 4 if left > 4 * items_per_task else left
+        open_, level, before = packed.where("container IS NULL").drop("container"), level + 1, left
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

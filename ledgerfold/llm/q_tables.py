@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.catalog import table
 from ledgerfold.llm.cooccur import associations
-from ledgerfold.llm.packing import pack, token_counts
+from ledgerfold.llm.packing import TOKENIZER, pack, token_counts
 from ledgerfold.llm.topn import top_n
 
 CAPACITY = 2048
@@ -37,7 +37,7 @@ def p7_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its container; capacity in tokens of a byte-level BPE of 50,257 ids."""
-    return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), CAPACITY)
+    return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", spark.conf.get("ledgerfold.tokenizer", TOKENIZER)), CAPACITY)
 
 
 QUERIES = {"p3_found": p3_found, "p3_top20": p3_top20, "p7_found": p7_found, "p7_associations": p7_associations, "p8_containers": p8_containers}

@@ -78,32 +78,37 @@ def vectors(forms: DataFrame) -> DataFrame:
 def cosine_pairs(vec: DataFrame, threshold: float, long: int = 64) -> DataFrame:
     """(a, b, cosine) of all pairs of forms a < b with cosine >= threshold; no pair is lost.
 
-    Forms meet on pairs of grams: with x and y the weights, the sum over shared pairs of grams of x_g x_h y_g y_h is S, and
-    the cosine is at most (m + sqrt(m * m + 8 S)) / 2, m being the greatest product of a shared gram. So below m = t / 2 a
-    pair needs S >= t * t / 4; a product of t / 2 or more needs a weight of at least sqrt(t / 2) on one side and t / 2 on the
-    other, and those few grams are joined singly. Forms of more than *long* grams are joined on single grams, all but the
-    frequent ones whose common length is below the threshold.
+    Forms meet on pairs of grams, far rarer than single ones. Two forms that share k grams meet k * (k - 1) / 2 times, and the
+    products of both grams of every meeting add up to (k - 1) times the cosine, so the cosine comes out of the join itself.
+    Forms that share one gram only need a product of the threshold on it: those grams are joined singly, as far as a form's
+    weight reaches the threshold with the greatest weight of that gram. Forms of more than *long* grams are joined on single
+    grams, all but the frequent ones whose common length is below the threshold, and multiplied out.
     """
-    t = threshold
+    t = threshold - 1e-12
     ordered = vec.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "w"))).alias("v"))
     ordered = materialize(ordered.withColumn("id", F.xxhash64("form")), "variant-vectors")
     short = ordered.where(F.size("v") <= long)
-    combos = "flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(xxhash64(x.gram, y.gram) AS key, x.w * y.w AS pw))))"
-    pairs = short.select("id", F.explode(F.expr(combos)).alias("k")).select("id", "k.key", "k.pw")
-    meet = pairs.select(F.col("id").alias("x"), "key", F.col("pw").alias("px")).join(pairs.select(F.col("id").alias("y"), "key", F.col("pw").alias("py")), "key").where("x < y")
-    close = meet.groupBy("x", "y").agg(F.sum(F.col("px") * F.col("py")).alias("s")).where(F.col("s") >= t * t / 4 - 1e-9).select("x", "y")
-    single = ordered.select("id", F.explode("v").alias("k")).select("id", "k.gram", "k.w").where(F.col("w") >= t / 2)
-    strong = single.where(F.col("w") >= (t / 2) ** 0.5 - 1e-9).select(F.col("id").alias("p"), "gram").join(single.select(F.col("id").alias("q"), "gram"), "gram")
+    combos = "flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(xxhash64(x.gram, y.gram) AS key, x.w AS w1, y.w AS w2))))"
+    pairs = short.select("id", F.explode(F.expr(combos)).alias("k")).select("id", "k.key", "k.w1", "k.w2")
+    meet = pairs.select(F.col("id").alias("x"), "key", F.col("w1").alias("x1"), F.col("w2").alias("x2")).join(pairs.select(F.col("id").alias("y"), "key", F.col("w1").alias("y1"), F.col("w2").alias("y2")), "key").where("x < y")
+    sums = meet.groupBy("x", "y").agg(F.sum(F.col("x1") * F.col("y1") + F.col("x2") * F.col("y2")).alias("s"), F.count(F.lit(1)).alias("n"))
+    close = sums.select("x", "y", (F.col("s") / ((F.sqrt(1 + 8 * F.col("n")) - 1) / 2)).alias("cosine"))
+    single = short.select("id", F.explode("v").alias("k")).select("id", "k.gram", "k.w").where(F.col("w") >= t)
+    most = single.groupBy("gram").agg(F.max("w").alias("most"))
+    single = single.join(most, "gram").where(F.col("w") * F.col("most") >= t).select("id", "gram", "w")
+    strong = single.select(F.col("id").alias("x"), "gram", F.col("w").alias("wx")).join(single.select(F.col("id").alias("y"), "gram", F.col("w").alias("wy")), "gram").where("x < y").select("x", "y", (F.col("wx") * F.col("wy")).alias("cosine"))
+    found = close.unionByName(strong).where(F.col("cosine") >= t).groupBy("x", "y").agg(F.max("cosine").alias("cosine"))
     prefix = F.expr(f"""aggregate(reverse(v), struct(0.0D AS tail, cast(array() AS array<string>) AS p),
         (s, x) -> struct(s.tail + x.w * x.w AS tail, IF(s.tail + x.w * x.w >= {t * t}D, array_append(s.p, x.gram), s.p) AS p)).p""")
-    first = ordered.select("id", F.explode(prefix).alias("gram"))
-    wide = first.join(ordered.where(F.size("v") > long).select("id"), "id", "left_semi").select(F.col("id").alias("p"), "gram").join(first.select(F.col("id").alias("q"), "gram"), "gram")
-    more = strong.unionByName(wide).where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
-    candidates = close.unionByName(more).distinct()
-    m = ordered.select("id", "form", F.map_from_entries(F.transform("v", lambda e: F.struct(e["gram"], e["w"]))).alias("m"))
-    both = candidates.join(m.select(F.col("id").alias("x"), F.col("form").alias("a"), F.col("m").alias("ma")), "x").join(m.select(F.col("id").alias("y"), F.col("form").alias("b"), F.col("m").alias("mb")), "y")
-    dot = F.expr("aggregate(map_keys(ma), 0.0D, (s, g) -> s + ma[g] * coalesce(mb[g], 0.0D))")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dot.alias("cosine")).where(F.col("cosine") >= t)
+    first = ordered.select("id", (F.size("v") > long).alias("long"), F.explode(prefix).alias("gram"))
+    wide = first.where("long").select(F.col("id").alias("p"), "gram").join(first.select(F.col("id").alias("q"), "gram"), "gram").where("p <> q")
+    wide = wide.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+    m = ordered.select("id", F.map_from_entries(F.transform("v", lambda e: F.struct(e["gram"], e["w"]))).alias("m"))
+    dot = F.expr("aggregate(map_keys(mx), 0.0D, (s, g) -> s + mx[g] * coalesce(try_element_at(my, g), 0.0D))")
+    wide = wide.join(m.select(F.col("id").alias("x"), F.col("m").alias("mx")), "x").join(m.select(F.col("id").alias("y"), F.col("m").alias("my")), "y").select("x", "y", dot.alias("cosine")).where(F.col("cosine") >= t)
+    named = ordered.select("id", "form")
+    both = found.unionByName(wide).join(named.select(F.col("id").alias("x"), F.col("form").alias("fx")), "x").join(named.select(F.col("id").alias("y"), F.col("form").alias("fy")), "y")
+    return both.select(F.least("fx", "fy").alias("a"), F.greatest("fx", "fy").alias("b"), "cosine")
 
 
 def confirm(pairs: DataFrame, parts: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -71,3 +71,25 @@ def test_unlabelled_negatives_are_corrected():
     unlabelled = _Rows([{"bad", "both"}] * 100 + [{"good", "both"}] * 200, vocabulary)
     w, b = nnpu(positive, unlabelled, 3, 1 / 3)
     assert w[0] + w[2] + b > 0 > w[1] + w[2] + b and np.isfinite(w).all()
+
+
+def test_items_in_ordinary_words(spark):
+    """Items without coined names: passages of 60 % with a word changed are found, other sentences of the same words aren't."""
+    import random
+
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in ("ba", "co", "du", "fe", "gi", "ho", "ju", "ka", "li", "mo") for b in ("ter", "lin", "rad", "son", "vek", "nup", "tal", "dor", "mis", "pag", "wen", "zor", "bel", "cid", "fur", "hap", "jem", "kiv", "luz", "nox")]
+    items = [(i, " ".join(rng.choices(vocabulary, k=20))) for i in range(60)]
+    docs, want = [], set()
+    for i, t in items:
+        w = t.split()
+        s = rng.randrange(0, 8)
+        part = w[s : s + 12]
+        part[rng.randrange(12)] = rng.choice(vocabulary)
+        docs.append((i, " ".join([*rng.choices(vocabulary, k=40), *part, *rng.choices(vocabulary, k=40)])))
+        want.add((i, i))
+    docs += [(1000 + i, " ".join(rng.choices(vocabulary, k=90))) for i in range(60)]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for most in (1000, 25):  # one set, and several
+        got = {tuple(r) for r in find_leaks(d, "doc_id", "text", e, "item_id", "text", max_items=most).collect()}
+        assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 3
