@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.operators.skew import join_hot
 from ledgerfold.session import materialize
 
 ROWS_PER_PARTITION = 50_000
@@ -122,10 +123,10 @@ def _solve(links: DataFrame, rows_per_partition: int, level: int = 0) -> DataFra
     if parts == 1:
         placed = links.withColumn("pid", F.lit(0)).coalesce(1) if level else links.withColumn("pid", F.lit(0)).repartition(1)
     else:
-        heavy = links.groupBy("next").count().where(F.col("count") > max(2, rows_per_partition // 4)).select(F.col("next").alias("hot"))
+        heavy = links.groupBy("next").count().where(F.col("count") > max(2, rows_per_partition // 4)).select(F.col("next").alias("hot"))  # at most four a partition
         tail = (F.abs(F.xxhash64(F.lit(level), F.col("node"))) % 2 == 0) & F.col("next").isNotNull() & F.col("hot").isNull()
         home = F.when(tail, F.col("next")).otherwise(F.col("node"))
-        placed = links.join(heavy, links["next"] == heavy["hot"], "left").withColumn("pid", F.pmod(F.xxhash64(home), F.lit(parts)).cast("int")).drop("hot").repartition(parts, "pid")
+        placed = links.join(F.broadcast(heavy), links["next"] == heavy["hot"], "left").withColumn("pid", F.pmod(F.xxhash64(home), F.lit(parts)).cast("int")).drop("hot").repartition(parts, "pid")
     local = placed.mapInPandas(_contract_partition, "node string, next string, exit string, steps bigint, state int, root string, pid int")
     local = materialize(local, f"hierarchy-{level}")
     resolved = local.where("exit IS NULL").select("node", "root", F.col("steps").alias("depth"), "state")
@@ -146,7 +147,7 @@ def _solve(links: DataFrame, rows_per_partition: int, level: int = 0) -> DataFra
         return resolved
     else:
         above = _solve(quotient, rows_per_partition, level + 1).withColumnRenamed("node", "exit")
-    joined = exits.drop("root", "state").join(above, "exit")
+    joined = join_hot(exits.drop("root", "state"), above, "exit")  # a hot parent may be the exit of most fragments
     direct = joined.where(F.col("state") != CYCLE).select("node", "root", F.when(F.col("state") == TREE, F.col("steps") + F.col("depth")).otherwise(-1).alias("depth"), "state")
     marked = above.where(F.col("state") == CYCLE).select(F.col("exit").alias("entry_node"))
     behind = joined.where(F.col("state") == CYCLE).select("node", "next", "pid").join(marked, F.col("node") == F.col("entry_node"), "left")

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_SCOPES = 10_000
+
 
 def _state(df: DataFrame, on: list[str], keys: list[str], value: str | None, side: str) -> DataFrame:
     cols = [*dict.fromkeys([*on, *keys])]
@@ -24,13 +26,16 @@ def _state(df: DataFrame, on: list[str], keys: list[str], value: str | None, sid
     return out.select(*[F.col(c).alias(f"on_{i}") for i, c in enumerate(on)], *[F.col(c).alias(f"{side}_{c}") for c in keys], *[c for c in out.columns if c in (f"n_{side}", f"s_{side}")])
 
 
-def eager_join_aggregate(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], left_keys: list[str], right_keys: list[str], left_sum: str | None = None, right_sum: str | None = None) -> DataFrame:
+def eager_join_aggregate(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], left_keys: list[str], right_keys: list[str], left_sum: str | None = None, right_sum: str | None = None, few_right: int = 0) -> DataFrame:
     """What `left JOIN right ... GROUP BY keys` gives for count(*) and sums, without joining rows.
 
     Columns: `left_<key>`, `right_<key>`, `n_pairs` (count of joined rows), `n_left_rows` and `n_right_rows` (rows of each
-    side under the group's join keys), and `sum_left`, `sum_right` (sums over the joined rows) where measures are named.
+    side under the group's join keys), and `sum_left`, `sum_right` (sums over the joined rows) where measures are named. With
+    *few_right* the states of the right side are counted, and broadcast if there are no more than that.
     """
     a, b = _state(left, left_on, left_keys, left_sum, "left"), _state(right, right_on, right_keys, right_sum, "right")
+    if few_right and b.count() <= few_right:
+        b = F.broadcast(b)
     joined = a.join(b, [f"on_{i}" for i in range(len(left_on))])
     aggs = [F.sum(F.col("n_left") * F.col("n_right")).alias("n_pairs"), F.sum("n_left").alias("n_left_rows"), F.sum("n_right").alias("n_right_rows")]
     if left_sum:
@@ -41,14 +46,31 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, left_on: list[str],
 
 
 def heavy_keys(rows: DataFrame, scope: str, key: str, share: float) -> DataFrame:
-    """(scope, key) of non-null keys that hold at least *share* of all rows of their scope.
+    """(scope, key, n, n_scope) of non-null keys that hold at least *share* of all rows of their scope.
+
+    That is the join of the rows with the rows of their scope, counted by key: both sides are aggregated first, the states by
+    key meet the state of their scope. Scopes are names of tables or the like; their states are counted before they are
+    broadcast.
+    """
+    known = rows.where(F.col(scope).isNotNull())
+    pairs = eager_join_aggregate(known, known, [scope], [scope], [scope, key], [], few_right=MOST_SCOPES)
+    heavy = pairs.where(F.col(f"left_{key}").isNotNull() & (F.col("n_left_rows") >= F.lit(share) * F.col("n_right_rows")))
+    return heavy.select(F.col(f"left_{scope}").alias(scope), F.col(f"left_{key}").alias(key), F.col("n_left_rows").alias("n"), F.col("n_right_rows").alias("n_scope"))
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left JOIN right on a key that is unique in *right*, where a few keys may hold most rows of *left*.
 
-    The rows are joined with their totals on the scope; the states by key are joined, never the rows, and the totals are
-    rolled up from the same states. Scopes are names of tables or the like, so few that their totals can be broadcast.
+    Keys of more than a quarter of a task's share are at most four a task; their rows of *right* are broadcast, so that the rows
+    of *left* stay where they are. Null keys match nothing and are not exchanged. *how* is inner or left.
     """
-    # whether a key is null is kept as part of the state: a filter on the key itself would go down into one of the two
-    # scans, and the exchange could not be shared
-    state = rows.groupBy(scope, key).agg(F.count(F.lit(1)).alias("n"), F.max(F.col(key).isNotNull()).alias("known"))
-    total = state.groupBy(scope).agg(F.sum("n").alias("n_scope"), F.max("known").alias("any_known"))
-    pairs = state.join(F.broadcast(total), scope)
-    return pairs.where(F.col("known") & F.col("any_known") & (F.col("n") >= F.lit(share) * F.col("n_scope"))).select(scope, key, "n", "n_scope")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = left.where(F.col(on).isNotNull())
+    fair = max(1_000, known.count() // (4 * tasks))
+    hot = known.groupBy(on).count().where(F.col("count") > fair).select(on)  # at most 4 * tasks rows
+    some = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
+    out = known.join(F.broadcast(hot), on, "left_semi").join(some, on, how).unionByName(known.join(F.broadcast(hot), on, "left_anti").join(right, on, how))
+    if how != "left":
+        return out
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != on]
+    return out.unionByName(left.where(F.col(on).isNull()).select("*", *empty))

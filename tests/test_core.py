@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions.columns import cosine, jaccard, normal_cdf, similarity, token_sort
 from ledgerfold.operators.graph import bfs, components, triangles
-from ledgerfold.operators.skew import eager_join_aggregate, heavy_keys
+from ledgerfold.operators.skew import eager_join_aggregate, heavy_keys, join_hot
 from ledgerfold.sources.tables import insert_or_ignore, upsert
 
 
@@ -38,3 +38,17 @@ def test_sinks(spark):
     new = spark.createDataFrame([(2, "c", 5), (2, "d", 7), (3, "e", 1)], "k int, v string, t int")
     assert {tuple(r) for r in upsert(old, new, ["k"], "t").collect()} == {(1, "a", 1), (2, "d", 7), (3, "e", 1)}
     assert {r["k"] for r in insert_or_ignore(old, new, ["k"]).collect()} == {3}
+
+
+def test_long_chain_is_one_component(spark):
+    e = spark.range(10_000).select(F.format_string("n%05d", "id").alias("src"), F.format_string("n%05d", F.col("id") + 1).alias("dst"))
+    assert [r["component"] for r in components(e).select("component").distinct().collect()] == ["n00000"]
+
+
+def test_join_with_hot_keys(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(3000)] + [("a", 1), ("b", 2), (None, 3), ("none", 4)], "k string, v int")
+    right = spark.createDataFrame([("hot", "x"), ("a", "y"), ("b", "z"), (None, "n")], "k string, w string")
+    for how in ("inner", "left"):
+        want = left.join(right, "k", how).groupBy("w").count().collect()
+        assert sorted(map(str, join_hot(left, right, "k", how).groupBy("w").count().collect())) == sorted(map(str, want))
+    assert join_hot(left.limit(0), right, "k").count() == 0
