@@ -34,6 +34,7 @@ from ledgerfold.session import materialize, scratch_path
 
 SAMPLE, MAX_SAMPLE, CALIBRATION, LEAF, BRANCH = 20_000, 200_000, 1024, 384, 24
 ROW_GROUP, MOST_GROUPS = 1 << 20, 200_000  # row groups grow where there would be more of them
+LEAST_VISITS = 6  # few leaves cost little and make small indexes exact
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -368,13 +369,13 @@ def nearest(rows: DataFrame, key: str, group: str, vector: str, k: int, min_cosi
 
     ask = fit.head(calibration)
     truth = _top(units.mapInPandas(_scan(groups, dim, k, min_cosine, x[: len(ask)], ask["key"].to_numpy(object), ask["grp"].to_numpy(object)), _FOUND), k).toPandas()
-    visits, reached = 4, 1.0
+    visits, reached = min(LEAST_VISITS, len(tree.weight)), 1.0
     if len(truth):
         row = pd.Series(range(len(ask)), index=ask["key"]).groupby(level=0).first()
         order = tree.visits(x[: len(ask)], len(tree.weight))
         turn = np.array([int(np.flatnonzero(order[row[q]] == at)[0]) + 1 for q, at in zip(truth["key"], truth["leaf"])])
         visits = int(np.sort(turn)[max(0, math.ceil(recall * len(turn)) - 1)]) + 1  # one leaf more than the sample needs
-        visits = min(visits, len(tree.weight))
+        visits = min(max(visits, LEAST_VISITS), len(tree.weight))
         reached = float((turn <= visits).mean())
     found = units.mapInPandas(_search(tree, groups, dim, k, visits, min_cosine, every), _FOUND)
     if light:

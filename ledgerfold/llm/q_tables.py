@@ -40,7 +40,15 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", spark.conf.get("ledgerfold.tokenizer", TOKENIZER)), CAPACITY)
 
 
-QUERIES = {"p3_found": p3_found, "p3_top20": p3_top20, "p7_found": p7_found, "p7_associations": p7_associations, "p8_containers": p8_containers}
+def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed; containers over the capacity, and documents split that fit into one: none of either."""
+    pieces = p8_containers(spark, sf_dir)
+    over = pieces.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.count(F.when(F.col("t") > CAPACITY, 1)).alias("over_capacity"))
+    items = pieces.groupBy("item").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("documents"), F.count(F.when((F.col("t") <= CAPACITY) & (F.col("n") > 1), 1)).alias("split_in_vain"))
+    return items.crossJoin(F.broadcast(over)).select("documents", "over_capacity", "split_in_vain")  # one row each
+
+
+QUERIES = {"p3_found": p3_found, "p3_top20": p3_top20, "p7_found": p7_found, "p7_associations": p7_associations, "p8_containers": p8_containers, "p8_summary": p8_summary}
 
 _LAST = """
 WITH last_rows AS (
@@ -59,6 +67,7 @@ total AS (SELECT count(DISTINCT p) AS n FROM members),
 pairs AS (SELECT x.c AS a, y.c AS b, count(*) AS t FROM members x JOIN members y ON x.p = y.p AND x.c < y.c GROUP BY ALL)
 """
 SQL = {
+    "p8_summary": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS split_in_vain FROM documents WHERE text IS NOT NULL AND text <> ''",
     "p3_found": _LAST + "SELECT firm_id, cluster_id, year FROM ranked WHERE rank <= 5",
     "p3_top20": _LAST + "SELECT firm_id, rank, cluster_id, year, score FROM ranked WHERE rank <= 20",
     "p7_found": _PAIRS + "SELECT a AS code_a, b AS code_b FROM pairs JOIN single sa ON sa.c = a JOIN single sb ON sb.c = b, total WHERE t >= 5 AND t * total.n >= 4 * sa.n * sb.n",

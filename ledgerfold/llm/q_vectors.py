@@ -28,4 +28,16 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
-SQL: dict[str, str] = {}
+_VALID = "v IS NOT NULL AND len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
+_SPACE = """
+{0}_v AS (SELECT key, any_value(grp) AS grp, any_value(v) AS v FROM (SELECT {1} AS key, {2} AS grp, {3}::DOUBLE[] AS v FROM {4}) WHERE key IS NOT NULL AND """ + _VALID + """ GROUP BY key),
+{0}_s AS (SELECT a.key AS key, b.key AS other, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM {0}_v a JOIN {0}_v b ON a.grp <> b.grp WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.95),
+{0}_t AS (SELECT key, other FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY c DESC, other) AS rn FROM {0}_s) WHERE rn <= 3)"""
+SQL: dict[str, str] = {
+    "p5_found": "WITH "
+    + _SPACE.format("p", "publication_number", "publication_number", "embedding_v1", "patent_research_data")
+    + ", "
+    + _SPACE.format("f", "firm_id || ':' || year", "firm_id", "tech_vector", "firm_tech_vectors")
+    + """
+SELECT DISTINCT 'patent' AS space, least(key, other) AS key_a, greatest(key, other) AS key_b FROM p_t UNION ALL SELECT DISTINCT 'firm', least(key, other), greatest(key, other) FROM f_t"""
+}
