@@ -37,16 +37,12 @@ SELECT r.publication_number FROM (SELECT DISTINCT publication_number, title_en F
 WHERE lower(r.title_en) LIKE '%antenna%' AND r.publication_number IN (SELECT id FROM classes WHERE section = 'H') AND r.publication_number IN (SELECT id FROM holders) AND r.publication_number LIKE 'US-%' ORDER BY r.publication_number LIMIT 50""",
     "search_no_hit": "SELECT publication_number FROM patent_research_data WHERE 1 = 0 OR lower(title_en) LIKE '%zzzqqq%'",
     "page_of_owners": """
-SELECT raw_name, n, CAST(total AS BIGINT) AS total, CAST(ceil(total / 25.0) AS BIGINT) AS pages FROM (
-  SELECT raw_name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, raw_name) AS rn, (SELECT count(DISTINCT raw_name) FROM patent_assignees) AS total FROM patent_assignees GROUP BY raw_name) WHERE rn BETWEEN 26 AND 50""",
-    "repeatable_sample": (
-        "SELECT publication_number FROM (SELECT DISTINCT publication_number FROM patent_research_data) ORDER BY md5(concat(publication_number, ':7')), publication_number LIMIT 100",
-        "SELECT publication_number FROM (SELECT DISTINCT publication_number FROM patent_research_data) ORDER BY md5(concat(publication_number, ':7')), publication_number LIMIT 100",
-    ),
+SELECT raw_name, n, total, CAST(ceil(total / 25.0) AS BIGINT) AS pages FROM (SELECT raw_name, count(*) AS n FROM patent_assignees GROUP BY raw_name ORDER BY count(*) DESC, raw_name LIMIT 25 OFFSET 25)
+CROSS JOIN (SELECT count(DISTINCT raw_name) AS total FROM patent_assignees)""",
+    "repeatable_sample": "SELECT publication_number FROM (SELECT DISTINCT publication_number FROM patent_research_data) ORDER BY md5(concat(publication_number, ':7')), publication_number LIMIT 100",
     "limit_in_subquery": """
 SELECT c.code4, count(*) AS n FROM classes c JOIN (SELECT id FROM cited ORDER BY n_cited DESC, id LIMIT 200) t ON c.id = t.id GROUP BY c.code4""",
-    "keyset_batches": """
-SELECT CAST(floor((rn - 1) / 5000) AS BIGINT) AS batch, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM patent_assignees) GROUP BY 1""",
+    "keyset_batches": "SELECT CAST(floor(id / 5000) AS BIGINT) AS batch, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM patent_assignees GROUP BY 1",
     "point_lookup": "SELECT publication_number, cpc_code, is_first FROM patent_cpc WHERE publication_number = (SELECT min(publication_number) FROM patent_cpc) AND cpc_code IS NOT NULL",
     "label_search": (
         "SELECT DISTINCT publication_number FROM patent_research_data WHERE exists(top_terms, t -> lower(t) LIKE '%sensor%' OR lower(t) LIKE '%valve%')",
@@ -108,9 +104,11 @@ SELECT round(sum(pow((n - mean) / s, 3)) / count(*), 5) AS skewness, round(corr(
         "SELECT firm_id, string_agg(DISTINCT country_code, ',' ORDER BY country_code) AS countries, count(DISTINCT publication_number) AS n FROM patent_assignees WHERE firm_id IS NOT NULL AND country_code IS NOT NULL GROUP BY firm_id",
     ),
     "median_of_scores": "SELECT cluster_id, round(score, 6) AS median_score FROM (SELECT cluster_id, score, row_number() OVER (PARTITION BY cluster_id ORDER BY score, firm_id, year) AS rn, count(*) OVER (PARTITION BY cluster_id) AS c FROM scores) WHERE rn = floor(c / 2.0) + 1",
+    # ranks are counted over distinct sizes, so no window holds all firms
     "portfolio_benchmark": """
-WITH p AS (SELECT h.firm, count(DISTINCT h.id) AS n, count(DISTINCT c.code4) AS classes, sum(coalesce(t.n_cited, 0)) AS cites FROM holders h LEFT JOIN classes c ON c.id = h.id LEFT JOIN cited t ON t.id = h.id GROUP BY h.firm)
-SELECT firm, n, classes, CAST(cites AS BIGINT) AS cites, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS rank_by_size FROM p""",
+WITH p AS (SELECT h.firm, count(DISTINCT h.id) AS n, count(DISTINCT c.code4) AS classes, sum(coalesce(t.n_cited, 0)) AS cites FROM holders h LEFT JOIN classes c ON c.id = h.id LEFT JOIN cited t ON t.id = h.id GROUP BY h.firm),
+sizes AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) - count(*) + 1 AS place FROM p GROUP BY n)
+SELECT p.firm, p.n, p.classes, CAST(p.cites AS BIGINT) AS cites, CAST(place AS BIGINT) AS rank_by_size FROM p JOIN sizes ON sizes.n = p.n""",
     "report_by_section": "SELECT c.section, count(DISTINCT c.id) AS records, count(DISTINCT h.firm) AS firms, count(DISTINCT c.code4) AS classes FROM classes c LEFT JOIN holders h ON h.id = c.id GROUP BY c.section",
     # windows
     "first_and_last": "SELECT firm_id, min_by(code, year) AS first_code, max_by(code, year) AS last_code, min(year) AS first_year, max(year) AS last_year, CASE WHEN min_by(code, year) = max_by(code, year) THEN 'stable' ELSE 'moved' END AS move FROM yearly WHERE code IS NOT NULL GROUP BY firm_id",
@@ -190,6 +188,22 @@ SELECT b.firm, count(*) AS common, round(count(*) / CAST((SELECT count(*) FROM a
 WITH latest AS (SELECT firm_id, dominant_cpc AS code, patent_count AS n, tech_vector IS NOT NULL AS has, row_number() OVER (PARTITION BY firm_id ORDER BY CASE WHEN tech_vector IS NULL THEN 0 ELSE 1 END, year DESC) AS rn FROM firm_tech_vectors WHERE dominant_cpc IS NOT NULL),
 donor AS (SELECT code, firm_id AS donor FROM (SELECT code, firm_id, row_number() OVER (PARTITION BY code ORDER BY n DESC, firm_id) AS k FROM latest WHERE has) WHERE k = 1)
 SELECT l.firm_id, l.code, d.donor FROM latest l LEFT JOIN donor d ON d.code = l.code WHERE l.rn = 1 AND NOT l.has""",
+    "growth_potential": """
+WITH g AS (SELECT firm_id, cluster_id, score, lag(score) OVER (PARTITION BY firm_id, cluster_id ORDER BY year) AS before, year FROM scores), m AS (SELECT firm_id, score, CASE WHEN before > 0 THEN (score - before) / before ELSE 0.0 END AS m FROM g WHERE year = 2022)
+SELECT firm_id, round(least(1.0, 2 * sum(score * greatest(0.0, m)) / nullif(sum(score), 0)), 6) AS growth, count(CASE WHEN m > 0.3 THEN 1 END) AS high_growth FROM m GROUP BY firm_id""",
+    "synergies": """
+WITH a AS (SELECT cluster_id, max(score) AS s FROM scores WHERE firm_id = 'company_1001' GROUP BY cluster_id), b AS (SELECT firm_id, cluster_id, max(score) AS s FROM scores WHERE firm_id <> 'company_1001' GROUP BY firm_id, cluster_id),
+x AS (SELECT b.firm_id, avg(b.s) AS s, count(a.cluster_id) / CAST(count(*) AS DOUBLE) AS shared, sum(b.s * coalesce(a.s, 0)) / nullif(sqrt(sum(b.s * b.s)) * sqrt((SELECT sum(s * s) FROM a)), 0) AS cs FROM b LEFT JOIN a ON a.cluster_id = b.cluster_id GROUP BY b.firm_id)
+SELECT firm_id, round(least(1.0, 0.6 * s + 0.2 * (1 - shared) + 0.2 * (1 - coalesce(cs, 0))), 6) AS gap, round(least(1.0, 0.5 * s + 0.3 * shared + 0.2 * coalesce(cs, 0)), 6) AS consolidation, round(least(1.0, 0.5 * s + 0.5 * (1 - shared)), 6) AS diversification FROM x""",
+    "quality_index": """
+WITH q AS (SELECT h.firm, sum(coalesce(t.n_cited, 0)) / CAST(count(*) AS DOUBLE) AS c FROM holders h LEFT JOIN cited t ON t.id = h.id GROUP BY h.firm), d AS (SELECT c, sum(count(*)) OVER (ORDER BY c) - count(*) AS below FROM q GROUP BY c)
+SELECT q.firm, round(q.c, 4) AS mean_cites, round(100.0 * d.below / (SELECT count(*) FROM q), 4) AS percentile FROM q JOIN d ON d.c = q.c""",
+    "pair_similarity_bands": """
+WITH m AS (SELECT DISTINCT h.firm, c.code4 FROM holders h JOIN classes c ON c.id = h.id), n AS (SELECT firm, count(*) AS n FROM m GROUP BY firm), big AS (SELECT firm FROM n ORDER BY n DESC, firm LIMIT 30)
+SELECT a.firm AS firm_a, b.firm AS firm_b, round(count(*) / CAST(max(x.n) + max(y.n) - count(*) AS DOUBLE), 6) AS jaccard FROM m a JOIN m b ON a.code4 = b.code4 AND a.firm < b.firm JOIN n x ON x.firm = a.firm JOIN n y ON y.firm = b.firm WHERE a.firm IN (SELECT firm FROM big) AND b.firm IN (SELECT firm FROM big) GROUP BY a.firm, b.firm""",
+    "class_trial_rates": """
+WITH t AS (SELECT DISTINCT trial_number, publication_number AS id FROM ptab_trials WHERE publication_number IS NOT NULL), n AS (SELECT code4, count(DISTINCT id) AS n FROM classes GROUP BY code4)
+SELECT c.code4, count(DISTINCT t.trial_number) AS trials, round(least(1.0, count(DISTINCT t.trial_number) / CAST(max(n.n) AS DOUBLE) / 0.02), 6) AS risk FROM t JOIN classes c ON c.id = t.id JOIN n ON n.code4 = c.code4 GROUP BY c.code4""",
     # tools over firms, groups and filings
     "group_portfolio": """
 WITH RECURSIVE tree AS (SELECT DISTINCT parent AS root, firm, 1 AS depth FROM family UNION ALL SELECT t.root, f.firm, t.depth + 1 FROM tree t JOIN family f ON f.parent = t.firm WHERE t.depth < 10)
@@ -243,8 +257,8 @@ SELECT g.firm_id, round((prior / pow(greatest(coalesce(sd, 0), 0.02), 2) + 10 *
     "compare_unique_codes": """
 SELECT code4, min(firm) AS firm FROM (SELECT DISTINCT h.firm, c.code4 FROM holders h JOIN classes c ON c.id = h.id WHERE h.firm IN (SELECT firm FROM (SELECT firm, count(*) AS n FROM holders GROUP BY firm) ORDER BY n DESC, firm LIMIT 12 OFFSET 3)) GROUP BY code4 HAVING count(*) = 1""",
     "codes_except": """
-WITH top AS (SELECT firm, row_number() OVER (ORDER BY n DESC, firm) AS rn FROM (SELECT firm, count(*) AS n FROM holders GROUP BY firm))
-SELECT c.code FROM classes c JOIN holders h ON h.id = c.id JOIN top t ON t.firm = h.firm WHERE t.rn = 1 EXCEPT SELECT c.code FROM classes c JOIN holders h ON h.id = c.id JOIN top t ON t.firm = h.firm WHERE t.rn = 9""",
+WITH sizes AS (SELECT firm, count(*) AS n FROM holders GROUP BY firm)
+SELECT c.code FROM classes c JOIN holders h ON h.id = c.id WHERE h.firm IN (SELECT firm FROM sizes ORDER BY n DESC, firm LIMIT 1) EXCEPT SELECT c.code FROM classes c JOIN holders h ON h.id = c.id WHERE h.firm IN (SELECT firm FROM sizes ORDER BY n DESC, firm LIMIT 1 OFFSET 8)""",
     "new_entrants": """
 WITH s AS (SELECT firm_id, cluster_id, min(year) AS first_year FROM scores GROUP BY firm_id, cluster_id) SELECT a.cluster_id, count(*) AS entrants FROM scores a WHERE a.year = 2021 AND NOT EXISTS (SELECT 1 FROM s WHERE s.firm_id = a.firm_id AND s.cluster_id = a.cluster_id AND s.first_year < 2019) GROUP BY a.cluster_id""",
 }

@@ -332,6 +332,11 @@ SELECT source, hops, count(*) AS n FROM (SELECT source, node, CAST(min(hops) AS
     "communities": f"""
 WITH {_EDGES}, l1 AS (SELECT a AS node, min(b) AS label FROM e GROUP BY a),
 v2 AS (SELECT e.a, l1.label, count(*) AS n FROM e JOIN l1 ON l1.node = e.b GROUP BY e.a, l1.label) SELECT a AS node, label FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, label) AS rn FROM v2) WHERE rn = 1""",
+    "small_world_index": f"""
+WITH RECURSIVE {_EDGES}, d AS (SELECT a AS node, count(*) AS k FROM e GROUP BY a), t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b WHERE x.a < x.b AND x.b < y.b),
+p AS (SELECT node, count(*) AS t FROM (SELECT a AS node FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY node), cc AS (SELECT avg(CASE WHEN k > 1 THEN 2.0 * coalesce(p.t, 0) / (k * (k - 1)) ELSE 0 END) AS clustering, count(*) AS n, avg(k) AS mean_degree FROM d LEFT JOIN p USING (node)),
+w AS (SELECT min(citing_publication) AS node, 0 AS hops FROM patent_citations UNION SELECT e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 3), l AS (SELECT avg(h) AS path_length FROM (SELECT node, min(hops) AS h FROM w GROUP BY node) WHERE h > 0)
+SELECT round(clustering, 5) AS clustering, round(path_length, 5) AS path_length, round(mean_degree / (n - 1), 5) AS density, round((clustering / (mean_degree / (n - 1))) / (path_length / (ln(n) / ln(mean_degree))), 5) AS index FROM cc, l""",
     "csv_with_synonyms": "SELECT standard_org AS org, count(*) AS n, count(standard_name) AS named, CAST(0 AS BIGINT) AS extra FROM sep_declarations GROUP BY standard_org",
     "json_export": "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region",
     "partitions_replaced": with_roles("SELECT CAST(year AS INT) AS year, count(*) AS n, round(sum(CASE WHEN year = 2022 THEN 0 ELSE score END), 3) AS total FROM scores GROUP BY year"),
