@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, COVER, NAMES, WINDOW, BLOCK, MAX_ITEMS = 0.35, 0.5, 0.5, 192, 32, 200_000
+THRESHOLD, COVER, NAMES, WINDOW, BLOCK, FEW, MAX_ITEMS = 0.35, 0.5, 0.5, 192, 32, 12, 200_000
 _CJK = "぀-ヿ㐀-䶿一-鿿"
 _TOKEN = re.compile(rf"[^\W_{_CJK}]+|[{_CJK}]")
 _INLINE = re.compile(r"</?(?:b|i|em|strong|u|span|font|a|sup|sub)\b[^<>]*>", re.I)
@@ -133,24 +133,44 @@ class ItemIndex:
         """Those of the items (in order) whose share covered by the query is at least the threshold: block-max WAND.
 
         Only items on the lists of the essential terms met can be pivots (the other lists alone prove nothing); a block of
-        items is left out where the sum of the block maxima of all terms of the query stays below the threshold.
+        which many items are asked is left out where the sum of the block maxima of all terms of the query stays below the
+        threshold. An item's share is summed over its own terms, far fewer than those of a passage.
         """
         known = query & self.postings.keys()
         if not items or known.isdisjoint(self.essential):
             return []
         found: list[int] = []
-        at = 0
+        at, least = 0, self.threshold - 1e-9
         while at < len(items):
             block = items[at] // BLOCK
             end = bisect_left(items, (block + 1) * BLOCK, lo=at)
-            if sum(self.blocks[t].get(block, 0.0) for t in known) >= self.threshold - 1e-9:
+            if end - at <= FEW or sum(self.blocks[t].get(block, 0.0) for t in known) >= least:
                 for item in items[at:end]:
-                    own = self.impacts[item]
-                    if sum(own[t] for t in known if t in own) >= self.threshold - 1e-9:
+                    if sum([v for t, v in self.impacts[item].items() if t in known]) >= least:
                         found.append(item)
             at = end
         return found
 
+    def retriever(self, items: list[int], query: set[str]):
+        """What `retrieve` gives for parts of one document; with many items their impacts are laid out as a matrix once."""
+        if len(items) <= FEW:
+            return lambda part: self.retrieve(part, items)
+        row = {t: i for i, t in enumerate(t for t in query if t in self.postings)}
+        impact = np.zeros((len(row) + 1, len(items)))
+        for j, item in enumerate(items):
+            for t, v in self.impacts[item].items():
+                if t in row:
+                    impact[row[t], j] = v
+        names, least, essential = np.asarray(items), self.threshold - 1e-9, self.essential
+
+        def find(part: set[str]) -> list[int]:
+            if part.isdisjoint(essential):
+                return []
+            rows = [row[t] for t in part if t in row]
+            return names[impact[rows].sum(0) >= least].tolist()
+
+        return find
+
     def holds(self, item: int, passage: list[str]) -> bool:
         """Exact check: half of the item's words in their order, with most of the names and figures of that part."""
         own = self.tokens[item]
@@ -202,14 +222,16 @@ def leaks(index: ItemIndex, text: str, window: int = WINDOW) -> list[int]:
     """Positions of the items that a document holds."""
     text = plain(text)
     tokens = words(text)
-    items = index.candidates(set(tokens) if text.isascii() else terms(tokens))
+    query = set(tokens) if text.isascii() else terms(tokens)
+    items = index.candidates(query)
     if not items:
         return []
+    retrieve = index.retriever(items, query)
     step = window // 2
     found: set[int] = set()
     for s in range(0, max(1, len(tokens) - step), step):
         passage = tokens[s : s + window]
-        for item in index.retrieve(terms(passage), items):
+        for item in retrieve(set(passage) if text.isascii() else terms(passage)):
             if item not in found:
                 reach = len(index.tokens[item])
                 if index.holds(item, tokens[max(0, s - reach) : s + window + reach]):

@@ -28,3 +28,4 @@ def test_all_items_of_the_share_are_retrieved():
             query = terms(words(" ".join(w[s : s + len(w) // 2]).lower()))
             want = [i for i, own in enumerate(index.impacts) if sum(v for t, v in own.items() if t in query) >= index.threshold]
             assert index.retrieve(query, index.candidates(query)) == want
+            assert index.retriever(list(range(len(index.ids))), query)(query) == want
