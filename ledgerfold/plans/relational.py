@@ -58,7 +58,7 @@ SELECT code, y, n, round(growth, 6) AS growth, round(CASE WHEN lag(y) OVER w IS
 FROM (SELECT code, y, n, CASE WHEN before IS NULL OR before = 0 THEN 0.0 ELSE up / CAST(before AS DOUBLE) END AS growth FROM momentum) WINDOW w AS (PARTITION BY code ORDER BY y)""",
     "tech_volatility": """
 WITH returns AS (SELECT code, ln(n / CAST(before AS DOUBLE)) AS x FROM momentum WHERE before > 0 AND n > 0)
-SELECT code, round(stddev_pop(x), 6) AS sigma, round(avg(x), 6) AS drift, round(stddev_pop(x) * sqrt(252), 6) AS annual,
+SELECT code, round(stddev_pop(x), 6) AS sigma, round(avg(x), 6) + 0 AS drift, round(stddev_pop(x) * sqrt(252), 6) AS annual,
   CASE WHEN avg(x) > 0.05 THEN 'growth' WHEN avg(x) > -0.05 THEN 'mature' ELSE 'declining' END AS regime FROM returns GROUP BY code""",
     "tech_beta": """
 WITH r AS (SELECT code, y, ln(n / CAST(before AS DOUBLE)) AS x FROM momentum WHERE before > 0 AND n > 0),

@@ -31,7 +31,7 @@ def test_against_sql(spark, duck, name):
     want = duck.execute(sql[name]).fetchdf()
     have = queries[name](spark, DATA).toPandas()
     assert sorted(have.columns) == sorted(want.columns)
-    plain = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else round(float(v), 4) if isinstance(v, float) else v
+    plain = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else round(float(v), 4) + 0.0 if isinstance(v, float) else v
     key = lambda f: sorted(str([plain(v) for v in r]) for r in f.astype(object).itertuples(index=False, name=None))
     assert key(have[list(want.columns)]) == key(want)
 
