@@ -16,8 +16,7 @@ ids; null labels are no labels; with no confirmed toxic document everything scor
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -97,13 +96,14 @@ def features(words: list[str]) -> set[str]:
 
 
 class _Rows:
-    """Sparse rows: which features a sentence or document has."""
+    """Sparse rows: which features a sentence has."""
 
-    def __init__(self, rows: list[set[str]], vocabulary: dict[str, int]) -> None:
-        lists = [sorted(vocabulary[f] for f in r if f in vocabulary) for r in rows]
+    def __init__(self, rows: list[np.ndarray], place: np.ndarray) -> None:
+        """*rows* hold numbers of features, *place* their columns, -1 for those that aren't used."""
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), np.fromiter(map(len, lists), np.int64, self.n))
-        self.col = np.fromiter((x for r in lists for x in r), np.int64, len(self.row))
+        row = np.repeat(np.arange(self.n), np.fromiter(map(len, rows), np.int64, self.n))
+        col = place[np.concatenate(rows)] if rows else np.empty(0, np.int64)
+        self.row, self.col = row[col >= 0], col[col >= 0]
 
     def score(self, w: np.ndarray, b: float) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n) + b
@@ -137,23 +137,38 @@ def nnpu(positive: _Rows, unlabelled: _Rows, size: int, prior: float, epochs: in
     return w, b
 
 
-def fit(toxic: list[list[set[str]]], other: list[list[set[str]]], rounds: int = 3) -> tuple[dict[str, float], float]:
+def _numbered(docs: Iterable[list[set[str]]], numbers: dict[str, int]) -> list[list[np.ndarray]]:
+    """Documents with their features as numbers, so that the driver holds little of them; new features get the next number."""
+    return [[np.fromiter((numbers.setdefault(f, len(numbers)) for f in sorted(s)), np.int32, len(s)) for s in d] for d in docs]
+
+
+def _document_counts(docs: list[list[np.ndarray]], size: int) -> np.ndarray:
+    out = np.zeros(size)
+    for d in docs:
+        if d:
+            out[np.unique(np.concatenate(d))] += 1
+    return out
+
+
+def fit(toxic: Iterable[list[set[str]]], other: Iterable[list[set[str]]], rounds: int = 3) -> tuple[dict[str, float], float]:
     """Weights of features and the bias, from documents given as lists of sentences of features."""
-    df, in_toxic = Counter(), Counter()
-    for counts, docs in ((in_toxic, toxic), (df, other)):
-        for d in docs:
-            counts.update(set().union(*d))
-    df.update(in_toxic)
+    numbers: dict[str, int] = {}
+    toxic, other = _numbered(toxic, numbers), _numbered(other, numbers)
+    in_toxic, df = (_document_counts(d, len(numbers)) for d in (toxic, other))
+    df = df + in_toxic
     share = len(toxic) / max(1, len(toxic) + len(other))
-    told = {f for f in in_toxic if in_toxic[f] >= 2 and in_toxic[f] >= LIFT * share * df[f]}
-    kept = sorted((f for f in df if df[f] >= COMMON or f in told), key=lambda f: (f not in told, -df[f], f))[:FEATURES]
-    vocabulary = {f: i for i, f in enumerate(kept)}
+    told = (in_toxic >= 2) & (in_toxic >= LIFT * share * df)
+    names = np.array(list(numbers), object)
+    kept = np.array(sorted(np.flatnonzero(told | (df >= COMMON)).tolist(), key=lambda i: (not told[i], -df[i], names[i]))[:FEATURES], np.int64)
     size = len(kept)
     if not toxic or not size:
         return {}, -30.0
+    place = np.full(len(numbers), -1, np.int64)
+    place[kept] = np.arange(size)
+    vocabulary = dict(zip(names[kept], range(size)))
 
-    def rows(items: list[set[str]]) -> _Rows:
-        return _Rows(items, vocabulary)
+    def rows(items: list[np.ndarray]) -> _Rows:
+        return _Rows(items, place)
 
     other_s = rows([s for d in other for s in d])
     every = [s for d in toxic for s in d]
@@ -161,7 +176,7 @@ def fit(toxic: list[list[set[str]]], other: list[list[set[str]]], rounds: int =
     owner = np.repeat(np.arange(len(toxic)), [len(d) for d in toxic])
     # first picture: log odds of every feature between toxic and other documents, a document's own mention left out
     n_toxic, n_rest = len(toxic), len(other)
-    a, d = (np.array([c[f] for f in kept], float) for c in (in_toxic, df))
+    a, d = in_toxic[kept], df[kept]
     odds = lambda x: np.log((x + 0.5) / (n_toxic + 1)) - np.log((d - a + 0.5) / (n_rest + 1))
     first = np.maximum(odds(a), 0)
     scores, usual = toxic_s.score(np.maximum(odds(np.maximum(a - 1, 0)), 0), 0.0), np.quantile(other_s.score(first, 0.0), USUAL[0]) if other_s.n else 0.0
@@ -250,7 +265,7 @@ def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id:
     share = min(1.0, 1.2 * OTHER_DOCS / max(1, docs.count()))  # thinned by hash, so that a bounded number comes to the driver
     confirmed = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id bigint").withColumn("y", F.lit(1)))  # at most TOXIC_DOCS rows
     drawn = d.join(confirmed, "doc_id", "left").where(F.col("y").isNotNull() | (h < int(share * (1 << 30)))).select("doc_id", "text", "y", h.alias("h")).dropDuplicates(["doc_id"]).toPandas().sort_values(["h", "doc_id"])
-    cut = lambda texts: [[features(s) for s in sentences(t)] for t in texts]
+    cut = lambda texts: ([features(s) for s in sentences(t)] for t in texts)
     marked = drawn["y"].notna()
     other = drawn[drawn["h"] < int(share * (1 << 30))]["text"][:OTHER_DOCS]  # unlabelled: a few confirmed ones among them belong there
     return Scorer(*fit(cut(drawn[marked]["text"]), cut(other)))

@@ -119,6 +119,9 @@ def confirm(pairs: DataFrame, parts: DataFrame, lexicon: Lexicon) -> DataFrame:
     for side in "ab":
         j = j.join(parts.select(F.col("form").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols]), side)
 
+    # two edits with swaps are four without: what is further apart needn't be looked at
+    j = j.where("a_short OR b_short OR levenshtein(a_root, b_root, 4) >= 0")
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             sides = [[Name(*x) for x in zip(*(f[f"{side}_{c}"] for c in cols[:4]))] for side in "ab"]

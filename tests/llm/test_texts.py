@@ -66,9 +66,8 @@ def test_unlabelled_negatives_are_corrected():
 
     from ledgerfold.llm.toxicity import _Rows, nnpu
 
-    vocabulary = {"bad": 0, "good": 1, "both": 2}
-    positive = _Rows([{"bad", "both"}] * 50, vocabulary)
-    unlabelled = _Rows([{"bad", "both"}] * 100 + [{"good", "both"}] * 200, vocabulary)
+    bad, good = np.array([0, 2]), np.array([1, 2])  # features: bad, good, both
+    positive, unlabelled = _Rows([bad] * 50, np.arange(3)), _Rows([bad] * 100 + [good] * 200, np.arange(3))
     w, b = nnpu(positive, unlabelled, 3, 1 / 3)
     assert w[0] + w[2] + b > 0 > w[1] + w[2] + b and np.isfinite(w).all()
 
