@@ -190,8 +190,11 @@ def fit(toxic: Iterable[list[set[str]]], other: Iterable[list[set[str]]], rounds
         now = other_s.score(w, b) if turn else other_s.score(first, 0.0)
         # unlabelled sentences above the middle of the positives hold half of the toxic ones among them, and hardly any other
         prior = min(0.05, max(0.0005, 2 * float((now > np.median(scores[chosen])).mean()) if other_s.n else 0.01))
+        last = w, b
         w, b = nnpu(rows([every[i] for i in np.flatnonzero(chosen)]), other_s, size, prior)
         scores, usual = toxic_s.score(w, b), max(-1.5, float(np.quantile(other_s.score(w, b), USUAL[1]))) if other_s.n else -1.5
+    if rounds > 1:  # one round picks many positives, the next few: the mean of both models is steadier than either
+        w, b = (w + last[0]) / 2, (b + last[1]) / 2
     return {f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 0.02}, b
 
 
