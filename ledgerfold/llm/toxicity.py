@@ -179,7 +179,14 @@ def fit(toxic: Iterable[list[set[str]]], other: Iterable[list[set[str]]], rounds
     a, d = in_toxic[kept], df[kept]
     odds = lambda x: np.log((x + 0.5) / (n_toxic + 1)) - np.log((d - a + 0.5) / (n_rest + 1))
     first = np.maximum(odds(a), 0)
-    scores, usual = toxic_s.score(np.maximum(odds(np.maximum(a - 1, 0)), 0), 0.0), np.quantile(other_s.score(first, 0.0), USUAL[0]) if other_s.n else 0.0
+    # sentences of runs of characters have more features than those of words, so each kind has its own measure
+    runs = np.array(["぀" <= f[0] <= "鿿" for f in vocabulary])
+    kind_t, kind_o = ((r.score(runs.astype(float), 0.0) > 0).astype(int) for r in (toxic_s, other_s))
+
+    def usual_of(s: np.ndarray, share: float, least: float) -> np.ndarray:
+        return np.array([max(least, float(np.quantile(s[kind_o == k], share))) if (kind_o == k).any() else least for k in (0, 1)])[kind_t]
+
+    scores, usual = toxic_s.score(np.maximum(odds(np.maximum(a - 1, 0)), 0), 0.0), usual_of(other_s.score(first, 0.0), USUAL[0], 0.0)
     w, b = np.zeros(size), 0.0
     for turn in range(rounds):
         best = np.full(len(toxic), -np.inf)
@@ -192,7 +199,7 @@ def fit(toxic: Iterable[list[set[str]]], other: Iterable[list[set[str]]], rounds
         prior = min(0.05, max(0.0005, 2 * float((now > np.median(scores[chosen])).mean()) if other_s.n else 0.01))
         last = w, b
         w, b = nnpu(rows([every[i] for i in np.flatnonzero(chosen)]), other_s, size, prior)
-        scores, usual = toxic_s.score(w, b), max(-1.5, float(np.quantile(other_s.score(w, b), USUAL[1]))) if other_s.n else -1.5
+        scores, usual = toxic_s.score(w, b), usual_of(other_s.score(w, b), USUAL[1], -1.5)
     if rounds > 1:  # one round picks many positives, the next few: the mean of both models is steadier than either
         w, b = (w + last[0]) / 2, (b + last[1]) / 2
     return {f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 0.02}, b
