@@ -31,11 +31,13 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, left_on: list[str],
 
     Columns: `left_<key>`, `right_<key>`, `n_pairs` (count of joined rows), `n_left_rows` and `n_right_rows` (rows of each
     side under the group's join keys), and `sum_left`, `sum_right` (sums over the joined rows) where measures are named. With
-    *few_right* the states of the right side are counted, and broadcast if there are no more than that.
+    *few_right* the states of the right side are fetched, and broadcast if there are no more than that.
     """
     a, b = _state(left, left_on, left_keys, left_sum, "left"), _state(right, right_on, right_keys, right_sum, "right")
-    if few_right and b.count() <= few_right:
-        b = F.broadcast(b)
+    if few_right:
+        states = b.limit(few_right + 1).collect()
+        if len(states) <= few_right:
+            b = F.broadcast(left.sparkSession.createDataFrame(states, b.schema))
     joined = a.join(b, [f"on_{i}" for i in range(len(left_on))])
     aggs = [F.sum(F.col("n_left") * F.col("n_right")).alias("n_pairs"), F.sum("n_left").alias("n_left_rows"), F.sum("n_right").alias("n_right_rows")]
     if left_sum:
