@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,15 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver find what is no longer used: only then are shuffles and broadcasts of finished steps given up.
+
+    A chain of many small jobs piles them up otherwise, on the disks of executors as well as in the driver.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this process wrote to the shared folder; call it once results have been stored."""
     jvm = spark.sparkContext._jvm
