@@ -1,7 +1,9 @@
 """Owner names linked to a register in stages: override, exact, normalised, fuzzy; every stage sees what the ones before left.
 
-The fuzzy stage blocks on runs of three letters: only names that share one of the *rare* runs of both meet, the best ratio of
-the words in order counts. No stage compares all names with all.
+The fuzzy stage compares the words in order of the alphabet. Two such strings of a ratio of at least r differ by k edits at most,
+and k edits change 3 * k runs of three letters; so, with the runs of each string from the rarest to the most frequent, the two
+share one among their first 3 * k + 1, and only names that do meet (strings that mostly repeat one run excepted). Frequent runs
+come last and are hardly ever asked for. No stage compares all names with all.
 
 Defined results: null and empty names stay unlinked; of several register entries of one form the smallest id counts;
 repeated names are linked once; an empty register links nothing.
@@ -43,19 +45,30 @@ def company_key(name: Column, compatibility: bool = True) -> Column:
     return c
 
 
-def _runs(key: Column) -> Column:
-    squeezed = F.replace(key, F.lit(" "), F.lit(""))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(squeezed) - 2, F.lit(1))), lambda i: F.substring(squeezed, i, F.lit(3))))
+def in_order(key: Column) -> Column:
+    """The words of a key in order of the alphabet."""
+    return F.array_join(F.array_sort(F.split(key, " ")), " ")
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """1 - edit distance / greater length, of the words in order of the alphabet."""
-    x, y = (F.array_join(F.array_sort(F.split(c, " ")), " ") for c in (a, b))
+def _runs(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+
+
+def _first_runs(rows: DataFrame, frequency: DataFrame, least: Column) -> DataFrame:
+    """rows(text, ...) once for each of the rarest runs of its text that a string of at least the ratio must share one of."""
+    spread = rows.withColumn("run", F.explode(_runs(F.col("text")))).join(frequency, "run", "left")
+    k = F.floor((1 - least) * F.length("text") / least + 1e-9).cast("int")
+    kept = spread.groupBy(*rows.columns).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))).alias("runs"))
+    return kept.withColumn("run", F.explode(F.slice("runs", F.lit(1), 3 * k + 1)["run"])).drop("runs")
+
+
+def ratio(x: Column, y: Column) -> Column:
+    """1 - edit distance / greater length."""
     longest = F.greatest(F.length(x), F.length(y))
     return F.when(longest > 0, 1 - F.levenshtein(x, y) / longest).otherwise(F.lit(0.0))
 
 
-def link_names(names: DataFrame, name: str, register: DataFrame, entity: str, registered: str, overrides: dict[str, str] | None = None, least: float = 0.84, short: float = 0.95, rare: int = 500, compatibility: bool = True) -> DataFrame:
+def link_names(names: DataFrame, name: str, register: DataFrame, entity: str, registered: str, overrides: dict[str, str] | None = None, least: float = 0.84, short: float = 0.95, compatibility: bool = True) -> DataFrame:
     """(name, entity, level, ratio) of every distinct name; level is override, exact, normalised, fuzzy or none."""
     n = names.select(F.col(name).alias("name")).where("name IS NOT NULL AND trim(name) <> ''").distinct().withColumn("key", company_key(F.col("name"), compatibility))
     r = register.select(F.col(entity).alias("entity"), F.col(registered).alias("registered")).where("entity IS NOT NULL AND registered IS NOT NULL")
@@ -66,13 +79,16 @@ def link_names(names: DataFrame, name: str, register: DataFrame, entity: str, re
     done = F.coalesce("e_given", "e_exact", "e_key")
     level = F.when(F.col("e_given").isNotNull(), "override").when(F.col("e_exact").isNotNull(), "exact").when(F.col("e_key").isNotNull(), "normalised")
     linked = staged.where(done.isNotNull()).select("name", done.alias("entity"), level.alias("level"), F.lit(1.0).alias("ratio"))
-    left = staged.where(done.isNull() & (F.col("key") != "")).select("name", F.col("key").alias("own"))
-    a = left.withColumn("run", F.explode(_runs(F.col("own"))))
-    b = by_key.withColumn("run", F.explode(_runs(F.col("key"))))
-    common = b.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rare).select("run")  # frequent runs tell names apart badly and would be hot keys
-    met = a.join(b.join(common, "run", "left_semi"), "run").select("name", "own", "key", "e_key").distinct()
-    met = met.withColumn("ratio", F.round(ratio(F.col("own"), F.col("key")), 6))
-    close = met.where(F.col("ratio") >= F.when(F.length("own") < 6, short).otherwise(least))
+    limit = F.when(F.length("own") < 6, short).otherwise(least)
+    left = staged.where(done.isNull() & (F.col("key") != "")).select("name", F.col("key").alias("own"), in_order(F.col("key")).alias("text"))
+    known = by_key.select("e_key", in_order(F.col("key")).alias("text")).groupBy("text").agg(F.min("e_key").alias("e_key"))
+    frequency = known.select(F.explode(_runs(F.col("text"))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    a = _first_runs(left, frequency, limit)
+    b = _first_runs(known, frequency, F.lit(least)).withColumnRenamed("text", "other")
+    met = a.join(b, "run").select("name", "own", "text", "other", "e_key").distinct()
+    met = met.where(F.abs(F.length("text") - F.length("other")) <= (1 - least) * F.greatest(F.length("text"), F.length("other")))
+    met = met.withColumn("ratio", F.round(ratio(F.col("text"), F.col("other")), 6))
+    close = met.where(F.col("ratio") >= limit)
     w = Window.partitionBy("name").orderBy(F.desc("ratio"), "e_key")
     fuzzy = close.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("name", F.col("e_key").alias("entity"), F.lit("fuzzy").alias("level"), "ratio")
     rest = staged.where(done.isNull()).select("name").join(fuzzy.select("name"), "name", "left_anti").select("name", F.lit(None).cast("string").alias("entity"), F.lit("none").alias("level"), F.lit(0.0).alias("ratio"))

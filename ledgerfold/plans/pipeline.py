@@ -358,10 +358,8 @@ WITH n AS (SELECT DISTINCT regexp_replace(raw_name, '[^ -~]', '?', 'g') AS name
 r AS (SELECT firm_id AS entity, regexp_replace(harmonized_name, '[^ -~]', '?', 'g') AS registered FROM patent_assignees WHERE firm_id IS NOT NULL AND harmonized_name IS NOT NULL), bn AS (SELECT registered AS name, min(entity) AS e FROM r GROUP BY 1),
 bk AS (SELECT key, min(entity) AS e FROM (SELECT entity, {_key('registered')} AS key FROM (SELECT DISTINCT entity, registered FROM r)) WHERE key <> '' GROUP BY key),
 st AS (SELECT nk.name, nk.key, CASE WHEN nk.name = 'MVGA GmbH' THEN 'company_1075' END AS g, bn.e AS x, bk.e AS k FROM nk LEFT JOIN bn ON bn.name = nk.name LEFT JOIN bk ON bk.key = nk.key),
-a AS (SELECT DISTINCT name, key, substr(replace(key, ' ', ''), CAST(i AS INT), 3) AS run FROM (SELECT name, key, unnest(range(1, greatest(length(replace(key, ' ', '')) - 1, 2))) AS i FROM st WHERE g IS NULL AND x IS NULL AND k IS NULL AND key <> '')),
-b AS (SELECT DISTINCT key, e, substr(replace(key, ' ', ''), CAST(i AS INT), 3) AS run FROM (SELECT key, e, unnest(range(1, greatest(length(replace(key, ' ', '')) - 1, 2))) AS i FROM bk)),
-u AS (SELECT run FROM b GROUP BY run HAVING count(*) <= 500), m AS (SELECT DISTINCT a.name, a.key AS own, b.key, b.e FROM a JOIN u ON u.run = a.run JOIN b ON b.run = a.run),
-s AS (SELECT name, own, e, array_to_string(list_sort(string_split(own, ' ')), ' ') AS p, array_to_string(list_sort(string_split(key, ' ')), ' ') AS q FROM m), z AS (SELECT name, own, e, round(1 - levenshtein(p, q) / greatest(length(p), length(q)), 6) AS ratio FROM s),
+a AS (SELECT name, key AS own, array_to_string(list_sort(string_split(key, ' ')), ' ') AS p FROM st WHERE g IS NULL AND x IS NULL AND k IS NULL AND key <> ''),
+b AS (SELECT array_to_string(list_sort(string_split(key, ' ')), ' ') AS q, min(e) AS e FROM bk GROUP BY 1), z AS (SELECT name, own, e, round(1 - levenshtein(p, q) / greatest(length(p), length(q)), 6) AS ratio FROM a JOIN b ON abs(length(p) - length(q)) <= 0.16 * greatest(length(p), length(q))),
 fz AS (SELECT name, e, ratio FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ratio DESC, e) AS rn FROM z WHERE ratio >= CASE WHEN length(own) < 6 THEN 0.95 ELSE 0.84 END) WHERE rn = 1),
 linked AS (SELECT st.name, coalesce(g, x, k, fz.e) AS entity, CASE WHEN g IS NOT NULL THEN 'override' WHEN x IS NOT NULL THEN 'exact' WHEN k IS NOT NULL THEN 'normalised' WHEN fz.e IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS level, CASE WHEN coalesce(g, x, k) IS NOT NULL THEN 1.0 ELSE coalesce(fz.ratio, 0.0) END AS ratio FROM st LEFT JOIN fz ON fz.name = st.name AND coalesce(g, x, k) IS NULL)
 """

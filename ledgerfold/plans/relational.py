@@ -184,7 +184,7 @@ SELECT firm, CAST(sum(d) AS BIGINT) AS as_defendant, CAST(sum(p) AS BIGINT) AS a
     "option_greeks": """
 WITH a AS (SELECT id, value AS s, greatest(y + 20 - 2005.0, 0.5) AS t FROM records WHERE value > 0), b AS (SELECT id, s, t, (ln(s / 100000.0) + (0.02 + 0.045) * t) / (0.3 * sqrt(t)) AS d1 FROM a), c AS (SELECT *, d1 - 0.3 * sqrt(t) AS d2, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS pdf FROM b),
 k AS (SELECT *, 1 / (1 + 0.3275911 * abs(d1) / sqrt(2.0)) AS t1, 1 / (1 + 0.3275911 * abs(d2) / sqrt(2.0)) AS t2 FROM c), n AS (SELECT *, CASE WHEN d1 >= 0 THEN 1 - (t1 * (0.254829592 + t1 * (-0.284496736 + t1 * (1.421413741 + t1 * (-1.453152027 + t1 * 1.061405429)))) * exp(-d1 * d1 / 2)) / 2 ELSE (t1 * (0.254829592 + t1 * (-0.284496736 + t1 * (1.421413741 + t1 * (-1.453152027 + t1 * 1.061405429)))) * exp(-d1 * d1 / 2)) / 2 END AS n1, CASE WHEN d2 >= 0 THEN 1 - (t2 * (0.254829592 + t2 * (-0.284496736 + t2 * (1.421413741 + t2 * (-1.453152027 + t2 * 1.061405429)))) * exp(-d2 * d2 / 2)) / 2 ELSE (t2 * (0.254829592 + t2 * (-0.284496736 + t2 * (1.421413741 + t2 * (-1.453152027 + t2 * 1.061405429)))) * exp(-d2 * d2 / 2)) / 2 END AS n2 FROM k)
-SELECT id, round(n1, 5) AS delta, round(1000000 * pdf / (s * 0.3 * sqrt(t)), 5) AS gamma_ppm, round(s * pdf * sqrt(t) / 100, 3) AS vega, round((-s * pdf * 0.3 / (2 * sqrt(t)) - 0.02 * 100000 * exp(-0.02 * t) * n2) / 365, 4) AS theta, round(100000 * t * exp(-0.02 * t) * n2 / 100, 3) AS rho FROM n""",
+SELECT id, round(n1, 5) + 0 AS delta, round(1000000 * pdf / (s * 0.3 * sqrt(t)), 5) + 0 AS gamma_ppm, round(s * pdf * sqrt(t) / 100, 3) + 0 AS vega, round((-s * pdf * 0.3 / (2 * sqrt(t)) - 0.02 * 100000 * exp(-0.02 * t) * n2) / 365, 4) + 0 AS theta, round(100000 * t * exp(-0.02 * t) * n2 / 100, 3) + 0 AS rho FROM n""",
     # value, family, status
     "family_size": "SELECT family, count(*) AS family_size FROM records GROUP BY family",
     "value_index_minmax": """
