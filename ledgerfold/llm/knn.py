@@ -198,7 +198,11 @@ class _Index:
         t = self.files[path].read_row_group(rg, columns=["leaf", "light", "key", "grp", "vec"])
         t = t.filter(pc.invert(t["light"])).combine_chunks()
         x = _unit(_matrix(t["vec"].chunk(0), self.dim)) if t.num_rows else np.empty((0, self.dim))
-        self.cache[i] = (t["leaf"].to_numpy(), t["key"].to_numpy(), t["grp"].to_numpy(), x, x.astype(np.float32))
+        leaf, key, grp = (t[c].to_numpy() for c in ("leaf", "key", "grp"))
+        if len(key) > 1:  # repeated rows lie side by side; they would fill the places of the k best of a block
+            keep = np.r_[True, (key[1:] != key[:-1]) | (leaf[1:] != leaf[:-1]) | (x[1:] != x[:-1]).any(1)]
+            leaf, key, grp, x = leaf[keep], key[keep], grp[keep], x[keep]
+        self.cache[i] = (leaf, key, grp, x, x.astype(np.float32))
         while len(self.cache) > 1 and sum(len(c[0]) for c in self.cache.values()) > self.held:
             self.cache.popitem(last=False)
         return self.cache[i]
@@ -323,8 +327,10 @@ def _scan(groups: list, dim: int, k: int, floor: float, x: np.ndarray, keys: np.
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
+    """The k best neighbours of every key; copies of a row find the same ones, which count once. One exchange, by key."""
+    once = found.repartition("key").groupBy("key", "neighbour").agg(F.max("cosine").alias("cosine"), F.min("leaf").alias("leaf"))
     w = Window.partitionBy("key").orderBy(F.desc("cosine"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def nearest(rows: DataFrame, key: str, group: str, vector: str, k: int, min_cosine: float = -1.0, recall: float = 0.98, dim: int = 64, sample: int | None = None, calibration: int = CALIBRATION, leaf: int = LEAF, every: int = 1) -> DataFrame:
